@@ -16,6 +16,7 @@ extra columns are ignored.  Without labelled training rows of both kinds the lex
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basaltql.llm import hashing as H
-from basaltql.llm.common import arrow_pass, held_out, id_and_text
+from basaltql.llm.common import Scratch, arrow_pass, held_out, id_and_text
 
 #: The bound of the labelled sample, and of the lexicon.
-TRAINING_ROWS, TERMS = 20_000, 512
+TRAINING_ROWS, TERMS = 8_000, 512
 #: A term's texts must be so unlikely by chance (negative logarithm), and toxic in this share.
-EVIDENCE, PRECISION = 12.0, 0.8
+EVIDENCE, PRECISION = 12.0, 0.93
 STEMS = range(4, 9)
 WINDOW_BYTES, QUOTED, MISSPELLED, THRESHOLD = 48, 0.25, 0.85, 0.7
 _MARKS = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’"}
@@ -88,6 +89,9 @@ class Lexicon:
         words = [t.encode() for t, stem, _ in terms if not stem]
         self.length = np.array([len(w) for w in words], np.int64)
         self.mask = np.array([_letters(w) for w in words], np.uint64)
+        self.head = np.array([w[0] << 8 | w[1] if len(w) > 1 else -1 for w in words], np.int64)
+        self.tail = np.array([w[-2] << 8 | w[-1] if len(w) > 1 else -1 for w in words], np.int64)
+        self.weights: dict[bytes, float] = {}
         self.exact = np.sort(self._hash([w for w in words if len(w) < 5]))
         self.stems = {n: np.sort(self._hash([t.encode() for t, stem, _ in terms if stem and len(t.encode()) == n])) for n in {len(t.encode()) for t, stem, _ in terms if stem}}
 
@@ -114,15 +118,24 @@ class Lexicon:
             if i >= 64:  # so long a word is no term
                 break
             mask[long] |= bits[starts[long] + i]
-        for length in np.unique(self.length):
-            of = self.mask[self.length == length]
-            some = np.flatnonzero((np.abs(n - length) <= 2) & ~near)
-            hit = np.zeros(len(some), bool)
-            for m in of:
-                hit |= np.bitwise_count(mask[some] ^ m) <= 3
-            near[some[hit]] = True
+        high = np.concatenate([[0], np.cumsum(a >= 0x80)])
+        wide = high[ends] > high[starts]
+        head, tail = a[starts].astype(np.int64) << 8 | a[np.minimum(starts + 1, len(a) - 1)], a[np.maximum(ends - 2, 0)].astype(np.int64) << 8 | a[ends - 1]
+        for length, term, first, last in zip(self.length, self.mask, self.head, self.tail, strict=True):
+            # One edit leaves one end of the term as it is, and changes one letter or, of non-ASCII words, a few bytes.
+            some = np.flatnonzero(((head == first) | (tail == last)) & (np.abs(n - length) <= 1 + wide) & ~near)
+            near[some[np.bitwise_count(mask[some] ^ term) <= 2 + 2 * wide[some]]] = True
         return near
 
+    def weight(self, raw: bytes) -> float:
+        """The weight of a word; a worker remembers a bounded number of them."""
+        if raw not in self.weights:
+            if len(self.weights) >= 100_000:
+                self.weights.clear()
+            w = raw.decode("utf-8", "replace")
+            self.weights[raw] = self.trie.best(w, int(len(w) >= 5))[0] if len(w) <= 40 else 0.0
+        return self.weights[raw]
+
     def scores(self, texts: list[str | None]) -> list[float]:
         out: list[float] = []
         for _, part in H.groups(texts):
@@ -133,9 +146,7 @@ class Lexicon:
                 near = np.flatnonzero(self.possible(h[at], starts[at], ends[at], np.frombuffer(buffer, np.uint8)))
                 weight = np.zeros(len(at))
                 for i in near:
-                    w = buffer[starts[at[i]] : ends[at[i]]].decode("utf-8", "replace")
-                    if len(w) <= 40:
-                        weight[i] = self.trie.best(w, int(len(w) >= 5))[0]
+                    weight[i] = self.weight(buffer[starts[at[i]] : ends[at[i]]])
                 hits = np.flatnonzero(weight[back])
                 text = np.searchsorted(first, hits, side="right") - 1
                 for i, t in zip(hits.tolist(), text.tolist(), strict=True):
@@ -165,7 +176,7 @@ def _choose(counts: list[tuple[str, bool, int, int, int]], toxic: int, other: in
     good = []
     for text, stem, a, b, kinds in counts:
         share = (a + 0.5) / (a + b + 1.0)
-        if a < 3 or share < PRECISION or stem and kinds < 3:
+        if a < 3 or a / (a + b) < PRECISION or stem and kinds < 3:
             continue
         # The divergence of the share of toxic texts from the rate, times the number of texts.
         p = a / (a + b)
@@ -183,44 +194,65 @@ def _choose(counts: list[tuple[str, bool, int, int, int]], toxic: int, other: in
     return chosen
 
 
+def _stems(words: set[str]) -> set[tuple[str, bool]]:
+    return {(w, False) for w in words} | {(w[:k], True) for w in words for k in STEMS if len(w) > k}
+
+
+def _words(text: str | None) -> set[str]:
+    low = (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "replace")
+    return {w for w in "".join([c if c.isalnum() else " " for c in low]).split() if len(w) <= 40}
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """The lexicon of at most TRAINING_ROWS labelled rows outside the held-out third, the least by hash of their id."""
-    known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
+    spark = docs.sparkSession
+    known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out_id("__id")).dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(TRAINING_ROWS)
     texts = docs.join(F.broadcast(known), docs["doc_id"].cast("long") == F.col("__id"))
 
-    def batch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows: Counter = Counter()
-        for t, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            raw = (t or "").encode("utf-8", "surrogatepass").lower()
-            found = set("".join(c if c.isalnum() else " " for c in raw.decode("utf-8", "replace")).split())
+    def vocabulary(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i in range(0, b.num_rows, 256):
+            part = b.slice(i, 256)
+            words = [sorted(_words(t)) for t in part.column(0).to_pylist()]
             # Copies of a text share the least hash of its words as a rule, and are counted once for it.
-            least = min(hash_text(w) for w in found) if found else 0
-            for w in found:
-                if len(w) <= 40:
-                    rows[w, w, least, toxic] = 1
-                    for k in STEMS:
-                        if len(w) > k:
-                            rows[w[:k], w, least, toxic] = 1
-        if rows:
-            text, word, family, toxic = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(text), pa.array(word), pa.array(family, pa.int64()), pa.array(toxic, pa.int32())], ["text", "word", "family", "toxic"])
-
-    pairs = arrow_pass(texts, [F.col("text").cast("string").alias("text"), F.col("toxic")], "text string, word string, family long, toxic int", batch)
-    each = pairs.groupBy("text", (F.col("text") != F.col("word")).alias("stem"), "family", "toxic").agg(F.collect_set("word").alias("kinds"))
-    each = each.select("text", "stem", "toxic", F.hash("family").alias("family"), F.when(F.col("toxic") == 1, F.col("kinds")).alias("kinds"))
-    counts = each.groupBy("text", "stem").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"), F.size(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"))
-    strong = counts.where(f"a >= 3 and a >= {PRECISION} * (a + b) - 1 and (not stem or kinds >= 3)").orderBy(F.desc(F.col("a") - 4 * F.col("b")), "text", "stem").limit(40 * TERMS)
-    sums = known.groupBy().agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).first()
-    if not sums or not sums.a or not sums.b:
+            least = [min((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in x), default=0) for x in words]
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(least, pa.int64()), pa.array(words, pa.list_(pa.string()))], ["toxic", "family", "words"])
+
+    scratch = Scratch(spark)
+    made = arrow_pass(texts, [F.col("text").cast("string").alias("text"), F.col("toxic")], "toxic int, family long, words array<string>", vocabulary)
+    sample = scratch.keep(made.groupBy("family", "toxic").agg(F.min("words").alias("words")))
+    sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) < 2:
         return Lexicon([])
-    return Lexicon(_choose([tuple(r) for r in strong.select("text", "stem", "a", "b", "kinds").collect()], sums.a, sums.b))
-
-
-def hash_text(word: str) -> int:
-    import zlib
 
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) * 2_654_435_761 % (1 << 32)
+    def in_toxic(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        count: Counter = Counter()
+        kinds: dict[str, set[str]] = {}
+        for words in b.column(0).to_pylist():
+            count.update(_stems(set(words)))
+            for w in words:
+                for k in STEMS:
+                    if len(w) > k and len(some := kinds.setdefault(w[:k], set())) < 3:
+                        some.add(w)
+        terms = list(count)
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in terms]), pa.array([s for _, s in terms]), pa.array([count[t] for t in terms], pa.int64()), pa.array([sorted(kinds[t]) if s else [] for t, s in terms], pa.list_(pa.string()))], ["text", "stem", "n", "kinds"])
+
+    toxic = arrow_pass(sample.where("toxic = 1"), [F.col("words")], "text string, stem boolean, n long, kinds array<string>", in_toxic)
+    toxic = toxic.groupBy("text", "stem").agg(F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds")).where("n >= 3 and (not stem or kinds >= 3)")
+    found = {(r.text, r.stem): (r.n, r.kinds) for r in toxic.collect()}  # bounded by the words of TRAINING_ROWS texts
+    wanted = spark.sparkContext.broadcast(frozenset(found))
+
+    def in_others(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        count: Counter = Counter()
+        for words in b.column(0).to_pylist():
+            count.update(_stems(set(words)) & wanted.value)
+        if count:
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in count]), pa.array([s for _, s in count]), pa.array(list(count.values()), pa.int64())], ["text", "stem", "n"])
+
+    others = arrow_pass(sample.where("toxic = 0"), [F.col("words")], "text string, stem boolean, n long", in_others)
+    against = {(r.text, r.stem): r.n for r in others.groupBy("text", "stem").agg(F.sum("n").alias("n")).collect()}
+    scratch.drop(sample)
+    return Lexicon(_choose([(text, stem, n, against.get((text, stem), 0), kinds) for (text, stem), (n, kinds) in found.items()], sizes[1], sizes[0]))
 
 
 def held_out_id(name: str):
