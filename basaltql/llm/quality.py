@@ -100,11 +100,11 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model of at most ROWS_PER_LABEL training rows of each label, the least by hash of their id."""
-    known = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("int").alias("label"))
+    known = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("int").alias("__label"))
     known = known.where(~held_out_id("__id")).dropDuplicates(["__id"])
     sample = None
     for label in (0, 1):
-        some = known.where(F.col("label") == label).orderBy(F.xxhash64("__id"), "__id").limit(ROWS_PER_LABEL)
+        some = known.where(F.col("__label") == label).orderBy(F.xxhash64("__id"), "__id").limit(ROWS_PER_LABEL)
         sample = some if sample is None else sample.unionAll(some)
     texts = docs.join(F.broadcast(sample), docs["doc_id"].cast("long") == F.col("__id"))
 
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             x = features(part.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "label", "x"])
 
-    rows = arrow_pass(texts, [F.col("text").cast("string").alias("text"), F.col("__id"), F.col("label")], "id long, label int, x binary", batch).toArrow()
+    rows = arrow_pass(texts, [F.col("text").cast("string").alias("text"), F.col("__id"), F.col("__label")], "id long, label int, x binary", batch).toArrow()
     if len(set(rows.column("label").to_pylist())) < 2:
         return Model(*(np.zeros(0, np.float32) for _ in range(4)))
     order = np.lexsort((rows.column("label").to_numpy(), rows.column("id").to_numpy()))

@@ -92,6 +92,7 @@ class Lexicon:
         self.head = np.array([w[0] << 8 | w[1] if len(w) > 1 else -1 for w in words], np.int64)
         self.tail = np.array([w[-2] << 8 | w[-1] if len(w) > 1 else -1 for w in words], np.int64)
         self.weights: dict[bytes, float] = {}
+        self.wide = np.array([not w.isascii() for w in words], bool)
         self.exact = np.sort(self._hash([w for w in words if len(w) < 5]))
         self.stems = {n: np.sort(self._hash([t.encode() for t, stem, _ in terms if stem and len(t.encode()) == n])) for n in {len(t.encode()) for t, stem, _ in terms if stem}}
 
@@ -121,10 +122,11 @@ class Lexicon:
         high = np.concatenate([[0], np.cumsum(a >= 0x80)])
         wide = high[ends] > high[starts]
         head, tail = a[starts].astype(np.int64) << 8 | a[np.minimum(starts + 1, len(a) - 1)], a[np.maximum(ends - 2, 0)].astype(np.int64) << 8 | a[ends - 1]
-        for length, term, first, last in zip(self.length, self.mask, self.head, self.tail, strict=True):
+        for length, term, first, last, other in zip(self.length, self.mask, self.head, self.tail, self.wide, strict=True):
             # One edit leaves one end of the term as it is, and changes one letter or, of non-ASCII words, a few bytes.
-            some = np.flatnonzero(((head == first) | (tail == last)) & (np.abs(n - length) <= 1 + wide) & ~near)
-            near[some[np.bitwise_count(mask[some] ^ term) <= 2 + 2 * wide[some]]] = True
+            loose = wide | other
+            some = np.flatnonzero(((head == first) | (tail == last)) & (np.abs(n - length) <= 1 + loose) & ~near)
+            near[some[np.bitwise_count(mask[some] ^ term) <= 2 + 2 * loose[some]]] = True
         return near
 
     def weight(self, raw: bytes) -> float:
@@ -198,28 +200,31 @@ def _stems(words: set[str]) -> set[tuple[str, bool]]:
     return {(w, False) for w in words} | {(w[:k], True) for w in words for k in STEMS if len(w) > k}
 
 
-def _words(text: str | None) -> set[str]:
+def _words(text: str | None) -> list[str]:
     low = (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "replace")
-    return {w for w in "".join([c if c.isalnum() else " " for c in low]).split() if len(w) <= 40}
+    return [w for w in "".join([c if c.isalnum() else " " for c in low]).split() if len(w) <= 40]
+
+
+def _family(words: list[str]) -> int:
+    """The least hash of five words in a row, which copies of a text share as a rule."""
+    return min((zlib.crc32(" ".join(words[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 4))), default=0)
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """The lexicon of at most TRAINING_ROWS labelled rows outside the held-out third, the least by hash of their id."""
     spark = docs.sparkSession
-    known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
+    known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("__toxic"))
     known = known.where(~held_out_id("__id")).dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(TRAINING_ROWS)
     texts = docs.join(F.broadcast(known), docs["doc_id"].cast("long") == F.col("__id"))
 
     def vocabulary(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i in range(0, b.num_rows, 256):
             part = b.slice(i, 256)
-            words = [sorted(_words(t)) for t in part.column(0).to_pylist()]
-            # Copies of a text share the least hash of its words as a rule, and are counted once for it.
-            least = [min((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in x), default=0) for x in words]
-            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(least, pa.int64()), pa.array(words, pa.list_(pa.string()))], ["toxic", "family", "words"])
+            words = [_words(t) for t in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(map(_family, words), pa.int64()), pa.array([sorted(set(x)) for x in words], pa.list_(pa.string()))], ["toxic", "family", "words"])
 
     scratch = Scratch(spark)
-    made = arrow_pass(texts, [F.col("text").cast("string").alias("text"), F.col("toxic")], "toxic int, family long, words array<string>", vocabulary)
+    made = arrow_pass(texts, [F.col("text").cast("string").alias("text"), F.col("__toxic")], "toxic int, family long, words array<string>", vocabulary)
     sample = scratch.keep(made.groupBy("family", "toxic").agg(F.min("words").alias("words")))
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
