@@ -3,6 +3,7 @@
 Logs often hold a conversation several times, each time with more turns.  A rolling hash over (role, text)
 gives every turn the hash of all turns up to it.  A conversation is dropped if its last prefix hash is a
 prefix hash of a longer conversation, or of an equal one with a smaller conv_id; the maximal ones are rendered.
+Both sides of the anti-join have a prefix once, so no common beginning is gathered in a task.
 
 Turns go in the order of (turn, role, text); a null role or text differs from an empty one in the hash and is
 rendered as empty.  Exactly repeated rows count once.  Rows without conv_id are ignored; extra columns are too.
@@ -31,11 +32,10 @@ def conversations(turns: DataFrame) -> DataFrame:
 def maximal(turns: DataFrame) -> DataFrame:
     """The conversations that no other continues or repeats."""
     every = conversations(turns)
-    whole = every.select("conv_id", "n_turns", F.element_at("prefixes", -1).alias("prefix"))
-    # Partial aggregation sums a very common first turn before the shuffle: no group is gathered.
-    longest = every.select("conv_id", "n_turns", F.explode("prefixes").alias("prefix")).groupBy("prefix").agg(F.max(F.struct("n_turns", -F.col("conv_id"))).alias("last"))
-    beaten = whole.join(longest, "prefix").where((F.col("last.n_turns") > F.col("n_turns")) | (-F.col("last.col2") < F.col("conv_id"))).select("conv_id")
-    return every.join(beaten, "conv_id", "left_anti")
+    # Equal conversations have one last prefix; partial aggregation leaves its least conv_id, whatever their number.
+    whole = every.groupBy(F.element_at("prefixes", -1).alias("prefix")).agg(F.min("conv_id").alias("conv_id"))
+    continued = every.select(F.explode(F.slice("prefixes", 1, F.size("prefixes") - 1)).alias("prefix")).distinct()
+    return every.join(whole.join(continued, "prefix", "left_anti"), "conv_id", "left_semi")
 
 
 def render(turns: DataFrame) -> DataFrame:
