@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Id tables of at most so many rows (16 MB) may be broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS = 500_000
+#: A key is hot with more than one part in HOT_KEYS of all rows (and more than HOT_ROWS), so at most HOT_KEYS keys are.
+HOT_KEYS, HOT_ROWS = 4096, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +41,20 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """Inner join of left (of so many rows) with right, which has a key once; rows of a hot key stay where they are.
+
+    The hot keys are read to the driver and their rows of right broadcast, HOT_KEYS at most; all others meet by
+    shuffling, where a key has at most one part in HOT_KEYS of the rows.  Key is a long or binary column.
+    """
+    counted = left.groupBy(key).agg(F.count(F.lit(1)).alias("__k")).where(F.col("__k") > max(HOT_ROWS, rows // HOT_KEYS))
+    hot = [r[0] for r in counted.where(F.col(key).isNotNull()).select(key).collect()]
+    if not hot:
+        return left.join(right, key)
+    is_hot = F.expr(f"`{key}` IN ({', '.join(f'{x}L' if isinstance(x, int) else f"X'{x.hex()}'" for x in hot)})")
+    return left.where(is_hot).join(F.broadcast(right.where(is_hot)), key).unionByName(left.where(~is_hot).join(right.where(~is_hot), key))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; only where the session names none (as in tests) one of our own."""
     if named := spark.conf.get("spark.checkpoint.dir", None):

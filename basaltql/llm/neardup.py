@@ -13,8 +13,8 @@ similarity.  The steps:
    left at CLOSE is similar enough to the leader to be tied to it.  What remains after the last round is
    tied to its leader unconditionally.  Components of the ties are families: supersets of what links can join.
 3. Families' full sets are compared exactly, by inverted lists within blocks of BLOCK members.  In a family of
-   more blocks, the members linked with the family's first document are set apart; blocks of these need not meet one
-   another.  A block, or pair of blocks, gives a spanning forest of its links; components follow.
+   more blocks, the members linked with the family's first document are set apart: they need not meet one another,
+   only the blocks of the others, if there are any.  A block, or pair of blocks, gives a spanning forest of its links; components follow.
 
 Null and empty texts and texts without words have n_shingles 0 and are linked with nothing.  Rows with one
 doc_id count as one document whose set is that of the row of least set hash.  Rows without doc_id are kept and linked with nothing.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basaltql.llm import hashing as H
-from basaltql.llm.common import Scratch, arrow_pass, id_and_text
+from basaltql.llm.common import Scratch, arrow_pass, id_and_text, spread_join
 from basaltql.llm.components import connected_components
 
 REGISTERS, ROWS, BASE = 96, 4, 1.02
@@ -125,7 +125,7 @@ def _estimated(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
             regs = [np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(-1, REGISTERS) for x in (c[3], c[5])]
             yield pa.RecordBatch.from_arrays([c[0], c[1], pa.array(estimate(*regs, c[2].to_numpy(), c[4].to_numpy()))], ["a", "b", "likely"])
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    joined = spread_join(pairs, side("b"), "b", pairs.count()).join(side("a"), "a")
     return arrow_pass(joined, [F.col(x) for x in ("a", "b", "n_a", "s_a", "n_b", "s_b")], "a long, b long, likely double", batch)
 
 
@@ -133,13 +133,15 @@ def families(spark: SparkSession, distinct: DataFrame, scratch: Scratch) -> Data
     """(id, family) of the sets that share a bucket with a similar one."""
     rows = _bands(distinct)
     counted = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
-    active = scratch.keep(rows.join(counted, "bucket", "left_semi"))
+    active = scratch.keep(spread_join(rows, counted, "bucket", distinct.count() * BANDS))
     ties = None
     for turn in range(ROUNDS):
         order = F.struct(F.xxhash64("id", F.lit(turn)), F.col("id"))
         leader = active.groupBy("bucket").agg(F.min(order)["id"].alias("b"))
-        led = active.withColumnRenamed("id", "a").join(leader, "bucket").where("a <> b")
-        judged = scratch.keep(_estimated(led.select("a", "b").distinct(), distinct))
+        led = scratch.keep(spread_join(active.withColumnRenamed("id", "a"), leader, "bucket", active.count()).where("a <> b"))
+        pairs = scratch.keep(led.select("a", "b").distinct())
+        judged = scratch.keep(_estimated(pairs, distinct))
+        scratch.drop(active, pairs)
         tied = judged.where(F.col("likely") >= LOOSE).select("a", "b")
         ties = tied if ties is None else ties.unionAll(tied)
         apart = led.join(judged.where(F.col("likely") >= CLOSE), ["a", "b"], "left_anti")
@@ -223,10 +225,13 @@ def _links_in(sets: list[np.ndarray], percent: int, split: int | None) -> list[t
 
 def _exact_links(spark: SparkSession, members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """members (id, family, words) to links (a, b) that connect what is linked."""
+    count = members.count()
     size = members.groupBy("family").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("leader"))
-    members = members.join(size, "family")
-    big = members.where(F.col("k") > BLOCK)
-    leaders = big.where("id = leader").select("family", F.col("words").alias("lead"))
+    members = spread_join(members, size, "family", count)
+    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    # A large family's leader goes to as many places as the family has blocks.
+    big = members.where(F.col("k") > BLOCK).withColumn("place", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    leaders = big.where("id = leader").select("family", F.col("words").alias("lead"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("place"))
 
     def with_leader(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, group, k, leader, words, lead = b.columns
@@ -237,13 +242,14 @@ def _exact_links(spark: SparkSession, members: DataFrame, percent: int, scratch:
             near.append(100 * common >= percent * (len(s) + len(t) - common))
         yield pa.RecordBatch.from_arrays([ids, group, k, leader, words, pa.array(near, pa.bool_())], ["id", "family", "k", "leader", "words", "near"])
 
-    judged = arrow_pass(big.join(leaders, "family"), [F.col(x) for x in ("id", "family", "k", "leader", "words", "lead")], "id long, family long, k long, leader long, words binary, near boolean", with_leader)
+    judged = arrow_pass(big.join(leaders, ["family", "place"]), [F.col(x) for x in ("id", "family", "k", "leader", "words", "lead")], "id long, family long, k long, leader long, words binary, near boolean", with_leader)
+    judged = scratch.keep(judged)
     near = judged.where("near").select(F.col("id").alias("a"), F.col("leader").alias("b"))
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int") + F.when(F.col("near"), blocks).otherwise(0)
-    placed = judged.select("id", "family", "words", blocks.alias("n"), own.alias("own"))
-    # A block of distant members meets every block; blocks of members near the leader meet only those.
-    meets = F.filter(F.sequence(F.lit(0), F.col("n") * 2 - 1), lambda o: (F.col("own") < F.col("n")) | (o < F.col("n")))
+    # The distant members have blocks of their own, which meet every block; blocks of members near the leader meet only those.
+    distant = judged.where("not near").groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("far"))
+    at = F.when(F.col("near"), F.col("far") + F.pmod(F.xxhash64("id"), blocks)).otherwise(F.pmod(F.xxhash64("id"), F.col("far"))).cast("int")
+    placed = spread_join(judged, distant, "family", count).select("id", "family", "words", "far", blocks.alias("n"), at.alias("own"))
+    meets = F.sequence(F.lit(0), F.when(F.col("own") < F.col("far"), F.col("far") + F.col("n")).otherwise(F.col("far")) - 1)
     pairs = placed.select("id", "words", "family", "own", F.explode(meets).alias("other"))
     pairs = pairs.select("id", "words", "family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own")
     alone = members.where(F.col("k") <= BLOCK).select("id", "words", "family", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("own"))
@@ -276,7 +282,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     component = connected_components(spark, links, scratch)
     of_set = distinct.join(component, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
     # Ids are unique as a rule; a repeated one belongs to the set of its least set hash.
-    label = one.groupBy("doc_id").agg(F.min("set_hash").alias("set_hash")).join(of_set, "set_hash").select("doc_id", "component_id")
+    label = spread_join(one.groupBy("doc_id").agg(F.min("set_hash").alias("set_hash")), of_set, "set_hash", one.count()).select("doc_id", "component_id")
     out = made.select("doc_id", "n_shingles").join(label, "doc_id", "left")
     root = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basaltql.llm import bpe, chat, decontam, langid, license_scan, merkle, neardup, quality, substring, toxicity
+from basaltql.llm import bpe, chat, common, decontam, langid, license_scan, merkle, neardup, quality, substring, toxicity
 from basaltql.llm import hashing as H
 from basaltql.llm.queries import vocabulary
 
@@ -96,9 +96,10 @@ def shingle_sets(rows, width):
     return out
 
 
-@pytest.mark.parametrize("block", [neardup.BLOCK, 4])
-def test_near_duplicates_against_all_pairs(spark, docs, rows, nothing, block, monkeypatch):
+@pytest.mark.parametrize(("block", "hot"), [(neardup.BLOCK, common.HOT_ROWS), (4, 1)])
+def test_near_duplicates_against_all_pairs(spark, docs, rows, nothing, block, hot, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     sets = shingle_sets([r for r in rows if r[0] is not None], 4)
     root = {i: i for i in sets}
 
@@ -124,6 +125,38 @@ def test_near_duplicates_against_all_pairs(spark, docs, rows, nothing, block, mo
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.kept}
 
 
+@pytest.mark.parametrize("hot", [0, 2, 100])
+def test_spread_join(spark, hot, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    left = spark.createDataFrame([(k, i) for k, n in ((1, 9), (2, 2), (3, 1), (None, 4)) for i in range(n)], "k long, i int")
+    right = spark.createDataFrame([(1, "a"), (3, "c"), (4, "d"), (None, "n")], "k long, x string")
+    got = sorted((r.k, r.i, r.x) for r in common.spread_join(left, right, "k", left.count()).collect())
+    assert got == [(1, i, "a") for i in range(9)] + [(3, 0, "c")]
+
+
+def test_large_families_against_all_pairs(spark, monkeypatch):
+    """Families of several blocks, with members near to and far from their first document."""
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for i in range(60):
+        w = list(base)
+        for p in r.sample(range(100), (0, 1, 2, 3, 6)[i % 5]):
+            w[p] = f"x{r.randrange(30)}"
+        texts.append(" ".join(w))
+    sets = shingle_sets([(i, t) for i, t in enumerate(texts)], 4)
+    root = {i: i for i in sets}
+    for _ in root:
+        for a in sets:
+            for b in sets:
+                if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in neardup.near_duplicates(spark, docs, width=4).collect()} == root
+
+
 def test_sketches_estimate_and_merge():
     a, b = np.arange(2000, dtype=np.uint64), np.arange(200, 2200, dtype=np.uint64)
     a, b = H.mix(a + np.uint64(1)), H.mix(b + np.uint64(1))
