@@ -21,13 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basaltql.llm import hashing as H
 from basaltql.llm.common import arrow_pass, id_and_text
 
-WINDOW, GAP_COST, LEAST_CHAIN, LEAST_COVER = 6, 0.25, 18, 0.4
+WINDOW, GAP_COST, LEAST_CHAIN, LEAST_COVER, LONG_GAP = 6, 0.25, 18, 0.4, 40
+#: Matches are made so many at a time.
+PAIRS = 200_000
+#: Two documents that hold a seed n and m times meet n * m times up to this; beyond, only in turn.
+PRODUCT = 256
 
 
 def minimizers(s: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -45,77 +50,156 @@ def minimizers(s: np.ndarray, text: np.ndarray) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
-def _match(seed: np.ndarray, doc: np.ndarray, pos: np.ndarray, old: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(later, earlier, run starts) of occurrences in the order of (seed, doc): each with its run's first and its predecessor."""
+def _sides(h: np.ndarray, low: np.ndarray, high: np.ndarray, w: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """WINDOW - 1 words before and after the seed at word w, nearest first, each as 12 bits of its hash; 0 beyond the text."""
+    code = (h % np.uint64(4095)).astype(np.int64) + 1
+    left, right = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
+    for k in range(WINDOW - 1):
+        at = w - 1 - k
+        left |= np.where(at >= low, code[np.maximum(at, 0)], 0) << (12 * k)
+        at = w + width + k
+        right |= np.where(at < high, code[np.minimum(at, len(h) - 1)], 0) << (12 * k)
+    return left, right
+
+
+def _equal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many words next to a seed are the same."""
+    n, on = np.zeros(len(x), np.int64), np.ones(len(x), bool)
+    for k in range(WINDOW - 1):
+        word = (x >> (12 * k)) & 4095
+        on &= (word > 0) & (word == (y >> (12 * k)) & 4095)
+        n += on
+    return n
+
+
+def _match(seed: np.ndarray, doc: np.ndarray, old: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(later, earlier) of occurrences in the order of (seed, doc): each with all of its run's first and of the preceding document."""
+    run, start, size, group = _groups(seed, doc)
+    i = np.arange(old, len(seed))
+    g = group[i]
+    far, near = g != run[g], g - 1 > run[g]
+    later, partner = np.concatenate([i[far], i[near]]), np.concatenate([run[g[far]], g[near] - 1])
+    n, m = size[group[later]], size[partner]
+    whole = n * m <= PRODUCT
+    # Of seeds that both repeat often, occurrences meet in turn, counted from the first ones and from the last ones.
+    x, rank = later[~whole], (later - start[group[later]])[~whole]
+    n, m, at = n[~whole], m[~whole], start[partner][~whole]
+    for k in range(0, len(x), PAIRS):
+        s = slice(k, k + PAIRS)
+        one, other = rank[s] % m[s], m[s] - 1 - (n[s] - 1 - rank[s]) % m[s]
+        yield x[s], at[s] + one
+        yield x[s][one != other], (at[s] + other)[one != other]
+    later, partner = later[whole], partner[whole]
+    total = np.cumsum(size[partner])
+    at = 0
+    while at < len(later):
+        done = int(total[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(total, done + PAIRS, side="right")))
+        k = size[partner[at:to]]
+        shift = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+        yield np.repeat(later[at:to], k), np.repeat(start[partner[at:to]], k) + shift
+        at = to
+
+
+def _groups(seed: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the documents of each seed: first of the seed, first occurrence, occurrences; and the one of each occurrence."""
     new = np.concatenate([[True], seed[1:] != seed[:-1]])
-    starts = np.flatnonzero(new)
-    first = starts[np.cumsum(new) - 1]
-    i = np.arange(len(seed))
-    to_first = i[(i >= old) & (first != i) & (doc[first] != doc)]
-    before = i[(i >= old) & (i - 1 > first)]
-    before = before[doc[before - 1] != doc[before]]
-    return np.concatenate([to_first, before]), np.concatenate([first[to_first], before - 1]), starts
+    start = np.flatnonzero(new | np.concatenate([[True], doc[1:] != doc[:-1]]))
+    group = np.searchsorted(start, np.arange(len(seed)), side="right") - 1
+    run = np.flatnonzero(new[start])[np.cumsum(new[start]) - 1]
+    return run, start, np.diff(np.append(start, len(seed))), group
 
 
-def _rows(seed, doc, pos, src, spos) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(seed, pa.int64()), pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(src, pa.int64()), pa.array(spos, pa.int32())], ["seed", "doc", "pos", "src", "spos"])
+_FOUND = "doc long, start int, end int, src long, s_start int"
+#: Of a seed, x and y are its sides; of a match, x is the source and y the start there and the length.
+_SEEDS = "seed long, doc long, pos int, x long, y long, matched boolean"
 
 
-_SEEDS = "seed long, doc long, pos int, src long, spos int"
+def _pairs(width: int, later: np.ndarray, earlier: np.ndarray, doc, pos, left, right) -> tuple[np.ndarray, ...]:
+    """doc, start, end, src, s_start of matched seeds with the equal words next to them."""
+    before, after = _equal(left[later], left[earlier]), _equal(right[later], right[earlier])
+    return doc[later], pos[later] - before, pos[later] + width + after, doc[earlier], pos[earlier] - before
+
+
+def _joined(found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Matches that overlap or touch on a diagonal of two documents as one."""
+    doc, start, end, src, at = found
+    order = np.lexsort((start, start - at, src, doc))
+    doc, start, end, src, at = (x[order] for x in found)
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (src[1:] != src[:-1]) | (start[1:] - at[1:] != start[:-1] - at[:-1]) | (start[1:] > end[:-1])
+    a = np.flatnonzero(new)
+    return doc[a], start[a], end[np.append(a[1:], len(doc)) - 1], src[a], at[a]
+
+
+def occurrences(ids: np.ndarray, texts: list[str | None], width: int) -> tuple[np.ndarray, ...]:
+    """seed, doc, pos, left, right of all occurrences of seeds, in the order of seed, doc and pos."""
+    found = []
+    for at, part in H.groups(texts):
+        h, first, *_ = H.words(part)
+        s, text, word = H.shingles(h, first, width)
+        i = minimizers(s, text)
+        low = first[text[i]]
+        found.append((s[i].view(np.int64), ids[at + text[i]], word[i].astype(np.int64), *_sides(h, low, first[text[i] + 1], low + word[i], width)))
+    out = [np.concatenate(x) for x in zip(*found, strict=True)]
+    order = np.lexsort((out[2], out[1], out[0]))
+    out = [x[order] for x in out]
+    once = np.ones(len(order), bool)
+    once[1:] = (out[0][1:] != out[0][:-1]) | (out[1][1:] != out[1][:-1])
+    return tuple(x[once] for x in out)
 
 
 def seeds(docs: DataFrame, width: int) -> DataFrame:
-    """Seeds to be matched (src null), and matches found within a batch."""
+    """Seeds to be matched, and matches found within a batch."""
+
+    def rows(seed, doc, pos, x, y, matched: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(seed, pa.int64()), pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(np.full(len(seed), matched))], ["seed", "doc", "pos", "x", "y", "matched"])
 
     def batch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        found = []
-        for at, part in H.groups(b.column(1).to_pylist()):
-            h, first, *_ = H.words(part)
-            s, text, word = H.shingles(h, first, width)
-            i = minimizers(s, text)
-            found.append((s[i].view(np.int64), ids[at + text[i]], word[i].astype(np.int32)))
-        seed, doc, pos = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((pos, doc, seed))
-        seed, doc, pos = seed[order], doc[order], pos[order]
-        once = np.ones(len(seed), bool)
-        once[1:] = (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])
-        seed, doc, pos = seed[once], doc[once], pos[once]
+        seed, doc, pos, left, right = occurrences(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), b.column(1).to_pylist(), width)
         if not len(seed):
             return
-        later, earlier, starts = _match(seed, doc, pos)
-        for i in range(0, len(starts), 200_000):
-            x = starts[i : i + 200_000]
-            yield _rows(seed[x], doc[x], pos[x], pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int32()))
-        for i in range(0, len(later), 200_000):
-            x, y = later[i : i + 200_000], earlier[i : i + 200_000]
-            yield _rows(H.mix(doc[x].view(np.uint64) + pos[x].astype(np.uint64)).view(np.int64), doc[x], pos[x], doc[y], pos[y])
+        run, _, _, group = _groups(seed, doc)
+        own = np.flatnonzero(run[group] == group)
+        for i in range(0, len(own), PAIRS):
+            k = own[i : i + PAIRS]
+            yield rows(seed[k], doc[k], pos[k], left[k], right[k], False)
+        found = [_pairs(width, later, earlier, doc, pos, left, right) for later, earlier in _match(seed, doc)]
+        if found:
+            d, a, z, src, at = _joined(tuple(np.concatenate(x) for x in zip(*found, strict=True)))
+            for i in range(0, len(d), PAIRS):
+                k = slice(i, i + PAIRS)
+                yield rows(H.mix(d[k].view(np.uint64) + a[k].astype(np.uint64)).view(np.int64), d[k], a[k], src[k], (at[k] << 32) | (z[k] - a[k]), True)
 
     return arrow_pass(docs.where("doc_id is not null"), id_and_text(), _SEEDS, batch)
 
 
 def matches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, pos, src, spos): words of a document that begin a seed that an earlier document has."""
+    """(doc, start, end, src, s_start): words of a document about a seed that stand in an earlier document too."""
+
+    def rows(doc, start, end, src, at) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(src, pa.int64()), pa.array(at, pa.int32())], ["doc", "start", "end", "src", "s_start"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        kept = [np.zeros(0, np.int64)] * 5
         for b in batches:
-            matched = b.filter(b.column(3).is_valid())
+            matched = b.filter(b.column(5))
             if matched.num_rows:
-                yield matched.select([1, 2, 3, 4])
-            b = b.filter(b.column(3).is_null())
+                doc, start, src, y = (c.to_numpy().astype(np.int64) for c in matched.columns[1:5])
+                yield rows(doc, start, start + (y & 0xFFFFFFFF), src, y >> 32)
+            b = b.filter(pc.invert(b.column(5)))
             if not b.num_rows:
                 continue
             old = len(kept[0])
-            seed, doc, pos = (np.concatenate([k, c.to_numpy()]) for k, c in zip(kept, b.columns[:3], strict=True))
-            later, earlier, starts = _match(seed, doc, pos, old)
-            if len(later):
-                yield _rows(seed[later], doc[later], pos[later], doc[earlier], pos[earlier]).select([1, 2, 3, 4])
-            # The open run goes on: its first and its last occurrence are all that later ones need.
-            ends = np.unique([starts[-1], len(seed) - 1])
-            kept = (seed[ends], doc[ends], pos[ends])
+            seed, doc, *more = (np.concatenate([k, c.to_numpy()]) for k, c in zip(kept, b.columns[:5], strict=True))
+            for later, earlier in _match(seed, doc, old):
+                yield rows(*_pairs(width, later, earlier, doc, *more))
+            # The open run goes on: its first and its last document are all that later ones need.
+            run, _, _, group = _groups(seed, doc)
+            ends = np.flatnonzero((group == run[-1]) | (group == group[-1]))
+            kept = [x[ends] for x in (seed, doc, *more)]
 
-    return seeds(docs, width).repartition("seed").sortWithinPartitions("seed", "doc", "pos").mapInArrow(link, "doc long, pos int, src long, spos int")
+    return seeds(docs, width).repartition("seed").sortWithinPartitions("seed", "doc", "pos").mapInArrow(link, _FOUND)
 
 
 def chain(start: np.ndarray, end: np.ndarray, s_start: np.ndarray, s_end: np.ndarray) -> list[list[int]]:
@@ -162,26 +246,34 @@ def chain(start: np.ndarray, end: np.ndarray, s_start: np.ndarray, s_end: np.nda
     return out
 
 
-def align(doc_rows: tuple[np.ndarray, np.ndarray, np.ndarray], width: int, min_words: int) -> list[tuple[int, int, int, int, float]]:
-    """From a document's matches in the order of (src, pos): (start, end, source, source start, share covered) of its passages."""
-    src, pos, spos = doc_rows
-    diagonal = pos - spos
-    new = np.ones(len(src), bool)
-    new[1:] = (src[1:] != src[:-1]) | (diagonal[1:] != diagonal[:-1]) | (pos[1:] - pos[:-1] > WINDOW)
-    a = np.flatnonzero(new)
-    b = np.concatenate([a[1:], [len(src)]]) - 1
-    start, end, s_start, s_end, source = pos[a], pos[b] + 1, spos[a], spos[b] + 1, src[a]
+def pieces(paths: list[list[int]], start: np.ndarray, end: np.ndarray, s_start: np.ndarray, s_end: np.ndarray) -> Iterator[list[int]]:
+    """Chains parted where more than LONG_GAP words of either text lie between two segments: those are passages of their own."""
+    for path in paths:
+        cut = 0
+        for k in range(1, len(path)):
+            i, j = path[k - 1], path[k]
+            if max(start[j] - end[i], s_start[j] - s_end[i]) > LONG_GAP:
+                yield path[cut:k]
+                cut = k
+        yield path[cut:]
+
+
+def align(found: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], min_words: int) -> list[tuple[int, int, int, int, float]]:
+    """From a document's matches (source, start, end, start there): (start, end, source, source start, share covered) of its passages."""
+    _, start, end, source, s_start = _joined((np.zeros(len(found[0]), np.int64), found[1], found[2], found[0], found[3]))
+    s_end = s_start + end - start
     cuts = np.concatenate([[0], np.flatnonzero(source[1:] != source[:-1]) + 1, [len(source)]])
     spans = []
     for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-        for path in chain(start[x:y], end[x:y], s_start[x:y], s_end[x:y]):
+        # A word less, as a word that is inserted beside its like belongs to two segments.
+        for path in pieces(chain(start[x:y] + 1, end[x:y], s_start[x:y] + 1, s_end[x:y]), start[x:y], end[x:y], s_start[x:y], s_end[x:y]):
             first, last = x + path[0], x + path[-1]
-            length = int(end[last] - start[first]) + width - 1
+            length = int(end[last] - start[first])
             covered = 0
             reach = int(start[first])
             for i in path:
-                covered += max(0, int(end[x + i]) + width - 1 - max(reach, int(start[x + i])))
-                reach = int(end[x + i]) + width - 1
+                covered += max(0, int(end[x + i]) - max(reach, int(start[x + i])))
+                reach = int(end[x + i])
             if length >= LEAST_CHAIN and covered >= LEAST_COVER * length:
                 spans.append((int(start[first]), int(start[first]) + length, int(source[first]), int(s_start[first]), covered))
     spans.sort()
@@ -195,8 +287,7 @@ def align(doc_rows: tuple[np.ndarray, np.ndarray, np.ndarray], width: int, min_w
             high = max(high, s[1])
         spans = spans[len(group) :]
         low = group[0][0]
-        # Up to WINDOW - 1 words of an exact passage precede its first seed, or follow its last one.
-        if high - low + WINDOW - 1 >= min_words:
+        if high - low >= min_words:
             best = max(group, key=lambda s: (s[1] - s[0], -s[2]))
             out.append((low, high, best[2], best[3], best[4] / (best[1] - best[0])))
     return out
@@ -211,7 +302,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, width: int = 5, min_
         def done(arrays: list[np.ndarray]) -> list[tuple]:
             doc = arrays[0]
             cuts = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]])
-            return [(int(doc[x]), *r) for x, y in zip(cuts[:-1], cuts[1:], strict=True) for r in align((arrays[2][x:y], arrays[1][x:y], arrays[3][x:y]), width, min_words)]
+            return [(int(doc[x]), *r) for x, y in zip(cuts[:-1], cuts[1:], strict=True) for r in align((arrays[3][x:y], arrays[1][x:y], arrays[2][x:y], arrays[4][x:y]), min_words)]
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             doc, low, high, src, at, covered = zip(*rows, strict=True)
@@ -232,8 +323,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, width: int = 5, min_
         if rest is not None and (rows := done(rest)):
             yield out(rows)
 
-    found = matches(docs, width).repartition("doc").sortWithinPartitions("doc", "src", "pos", "spos")
-    return found.select("doc", "pos", "src", "spos").mapInArrow(per_document, "doc_id long, start_word long, end_word long, n_words long, source_id long, source_start long, covered double")
+    found = matches(docs, width).repartition("doc").sortWithinPartitions("doc", "src", "start", "s_start")
+    return found.mapInArrow(per_document, "doc_id long, start_word long, end_word long, n_words long, source_id long, source_start long, covered double")
 
 
 def remove_repeated(spark: SparkSession, docs: DataFrame, width: int = 5, min_words: int = 50) -> DataFrame:

@@ -336,6 +336,17 @@ def test_passages(spark, rows, nothing):
     assert substring.repeated_passages(spark, nothing).count() == 0
 
 
+def test_exact_passages_of_just_enough_words(spark):
+    r = random.Random(11)
+    made = []
+    for i in range(60):
+        passage = prose(49 + i % 6, r)
+        made += [(2 * i, f"{prose(40, r)} first {passage} first {prose(30, r)}"), (2 * i + 1, f"{prose(25, r)} second {passage} second {prose(50, r)}")]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.start_word, x.end_word, x.source_id, x.source_start) for x in substring.repeated_passages(spark, docs).collect()}
+    assert got == {2 * i + 1: (26, 75 + i % 6, 2 * i, 41) for i in range(60) if i % 6}
+
+
 def test_chain_against_all_subsets():
     from itertools import combinations
 
