@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from basaltql.llm import hashing as H
 from basaltql.llm.common import arrow_pass, id_and_text
 
-WINDOW, GAP_COST, LEAST_CHAIN, LEAST_COVER, LONG_GAP = 6, 0.25, 18, 0.4, 40
+WINDOW, GAP_COST, LEAST_CHAIN, LEAST_COVER, LONG_GAP = 6, 0.125, 18, 0.4, 40
 #: Matches are made so many at a time.
 PAIRS = 200_000
 #: Two documents that hold a seed n and m times meet n * m times up to this; beyond, only in turn.

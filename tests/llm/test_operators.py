@@ -347,6 +347,22 @@ def test_exact_passages_of_just_enough_words(spark):
     assert got == {2 * i + 1: (26, 75 + i % 6, 2 * i, 41) for i in range(60) if i % 6}
 
 
+@pytest.mark.parametrize("percent", [5, 8, 10, 12, 15])
+def test_fuzzy_passages(spark, percent):
+    r = random.Random(percent)
+    made = []
+    for i in range(20):
+        words = prose(150, r).split()
+        made.append((2 * i, " ".join([prose(40, r), *words, prose(40, r)])))
+        for k in r.sample(range(150), 150 * percent // 100):
+            words[k] = "other"
+        made.append((2 * i + 1, " ".join([prose(30, r), *words, prose(60, r)])))
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    got = substring.repeated_passages(spark, docs).collect()
+    assert {x.doc_id for x in got} == {2 * i + 1 for i in range(20)} and all(x.source_id == x.doc_id - 1 for x in got)
+    assert sum(x.n_words for x in got) >= (0.75 if percent > 12 else 0.85) * 20 * 150
+
+
 def test_chain_against_all_subsets():
     from itertools import combinations
 
