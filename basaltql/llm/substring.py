@@ -143,10 +143,7 @@ def occurrences(ids: np.ndarray, texts: list[str | None], width: int) -> tuple[n
         found.append((s[i].view(np.int64), ids[at + text[i]], word[i].astype(np.int64), *_sides(h, low, first[text[i] + 1], low + word[i], width)))
     out = [np.concatenate(x) for x in zip(*found, strict=True)]
     order = np.lexsort((out[2], out[1], out[0]))
-    out = [x[order] for x in out]
-    once = np.ones(len(order), bool)
-    once[1:] = (out[0][1:] != out[0][:-1]) | (out[1][1:] != out[1][:-1])
-    return tuple(x[once] for x in out)
+    return tuple(x[order] for x in out)
 
 
 def seeds(docs: DataFrame, width: int) -> DataFrame:

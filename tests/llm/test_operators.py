@@ -363,6 +363,22 @@ def test_fuzzy_passages(spark, percent):
     assert sum(x.n_words for x in got) >= (0.75 if percent > 12 else 0.85) * 20 * 150
 
 
+def test_every_copy_of_a_passage(spark):
+    r = random.Random(7)
+    made = []
+    for i in range(10):
+        p, line = prose(80, r), prose(60, r)
+        part = " ".join(p.split()[:40])
+        made += [(4 * i, f"{prose(30, r)} {p} {prose(30, r)} {part} {line}"), (4 * i + 1, f"{prose(50, r)} one {p} one {prose(60, r)} two {p} two {prose(20, r)}")]
+        made += [(4 * i + 2, f"{prose(50, r)} three {part} three {prose(60, r)} four {p} four {prose(20, r)}"), (4 * i + 3, f"{line} {prose(60, r)} two {line}")]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    got = sorted((x.doc_id, x.start_word, x.end_word) for x in substring.repeated_passages(spark, docs).collect())
+    want = []
+    for i in range(10):
+        want += [(4 * i + 1, 51, 131), (4 * i + 1, 193, 273), (4 * i + 2, 153, 233), (4 * i + 3, 0, 60), (4 * i + 3, 121, 181)]
+    assert got == want
+
+
 def test_chain_against_all_subsets():
     from itertools import combinations
 
