@@ -1,6 +1,7 @@
 """License scans (operator 6): an exact set-similarity join of text blocks with license templates.
 
-Words are runs of digits, letters and non-ASCII characters after lower-casing A-Z; a block is a line.  Template
+Words are runs of digits, letters and non-ASCII characters after lower-casing A-Z; a block is a line, or a window
+of a quarter more words than the template has, wherever its lines end, so that wrapped notices are found.  Template
 words are ordered by their frequency in all of the documents.  A block that contains enough of a template
 must hold one of its rarest words (prefix filter), enough distinct words (length filter), and enough of the
 words that follow the first common one in this order (positional filter); what passes is counted exactly.
@@ -61,7 +62,7 @@ class Join:
     def __init__(self, templates: dict[str, list[str]], frequency: dict[str, int], percent: int):
         rank = {w: i for i, w in enumerate(sorted({w for ts in templates.values() for t in ts for w in t.split()}, key=lambda w: (frequency.get(w, 0), w)))}
         self.rank = {w.encode(): i for w, i in rank.items()}
-        self.templates = []
+        self.templates, self.window = [], []
         by_word: dict[str, list[int]] = {}
         for label, texts in templates.items():
             for t in texts:
@@ -70,8 +71,10 @@ class Join:
                 for w in ordered[: len(ordered) - needed + 1]:
                     by_word.setdefault(w, []).append(len(self.templates))
                 self.templates.append((label, [rank[w] for w in ordered], needed))
+                self.window.append(len(t.split()) * 5 // 4)
         self.prefix = list(by_word.values())
         self.hashes = H.words([w.encode() for w in by_word], H.NOT_ALNUM)[0]
+        self.by_hash = dict(zip(H.words([w.encode() for w in rank], H.NOT_ALNUM)[0].tolist(), rank.values(), strict=True))
 
     def matches(self, block: set[bytes], chosen: list[int]) -> Iterator[tuple[str, float]]:
         """(label, containment) of the chosen templates that the block contains enough of."""
@@ -88,6 +91,35 @@ class Join:
             if common >= needed:
                 yield label, common / len(ordered)
 
+    def window_match(self, h: np.ndarray, t: int, hits: list[int], low: int, high: int) -> tuple[str, float] | None:
+        """(label, greatest containment) of template t in windows about its prefix words in words low to high of h, if enough."""
+        label, ordered, needed = self.templates[t]
+        wanted, width, best, at = set(ordered), self.window[t], 0, 0
+        while at < len(hits):
+            # Hits whose windows may overlap are looked at together.
+            to = at + 1
+            while to < len(hits) and hits[to] - hits[to - 1] < 2 * width:
+                to += 1
+            a, z = max(low, hits[at] - width + 1), min(high, hits[to - 1] + width)
+            at = to
+            if z - a < needed:
+                continue
+            places = [(i, r) for i, x in enumerate(h[a:z].tolist()) if (r := self.by_hash.get(x)) in wanted]
+            if len({r for _, r in places}) < needed:
+                continue
+            count: dict[int, int] = {}
+            first = 0
+            for i, r in places:
+                count[r] = count.get(r, 0) + 1
+                while places[first][0] <= i - width:
+                    gone = places[first][1]
+                    count[gone] -= 1
+                    if not count[gone]:
+                        del count[gone]
+                    first += 1
+                best = max(best, len(count))
+        return (label, best / len(ordered)) if best >= needed else None
+
 
 _SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
@@ -124,9 +156,12 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, phrases
                         score[t] = 1.0
             # Prefix filter: only blocks with one of the rarest words of a template are looked at.
             blocks: dict[tuple[int, int, int], set[int]] = {}
+            hits: dict[tuple[int, int], list[int]] = {}
             for word, chosen in zip(join.hashes, join.prefix, strict=True):
                 for w in np.flatnonzero(h == word).tolist():
                     t = int(np.searchsorted(first, w, side="right")) - 1
+                    for c in chosen:
+                        hits.setdefault((t, c), []).append(w)
                     s = int(starts[w])
                     begin, end = int(starts[first[t]]), int(ends[first[t + 1] - 1])
                     a = max(buffer.rfind(b"\n", begin, s), begin)
@@ -136,6 +171,10 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, phrases
                 for label, share in join.matches(set(_WORD.findall(buffer[a:z])), sorted(chosen)):
                     found[t].add(label)
                     score[t] = max(score[t], share)
+            for (t, c), at_words in hits.items():
+                if (match := join.window_match(h, c, sorted(at_words), int(first[t]), int(first[t + 1]))) is not None:
+                    found[t].add(match[0])
+                    score[t] = max(score[t], match[1])
             texts = lambda sets: pa.array([",".join(sorted(s)) for s in sets], pa.string())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).slice(at, k), pa.array(np.diff(first)), pa.array(n_base), pa.array(low, pa.int64()), pa.array(high, pa.int64()), texts(base), texts(x | y for x, y in zip(base, found, strict=True)), pa.array(score)],

@@ -316,6 +316,25 @@ def test_language(spark, docs, rows, nothing):
     assert langid.predict(docs, profiles).count() == len(rows)
 
 
+def test_wrapped_license_notices(spark):
+    r = random.Random(31)
+    notices = [(k, x) for k, texts in license_scan.TEMPLATES.items() for x in texts]
+    made = []
+    for i, (_, notice) in enumerate(notices):
+        words = notice.split()
+        for k, prefix in enumerate(("", " * ", "# ", "// ")):
+            wrapped = "\n".join(prefix + " ".join(words[j : j + 4]).title() for j in range(0, len(words), 4))
+            made.append((10 * i + k, f"{prose(20, r)}\n{wrapped}\n{prose(20, r)}"))
+        apart = "\n".join(f"{w} {prose(3, r)}" for w in words)
+        made.append((10 * i + 9, apart))
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x for x in license_scan.scan(docs).collect()}
+    for i, (label, _) in enumerate(notices):
+        for k in range(4):
+            assert label in got[10 * i + k].labels.split(",") and got[10 * i + k].score == 1.0
+        assert got[10 * i + 9].labels == ""
+
+
 def test_passages(spark, rows, nothing):
     passage, fuzzy = prose(80), prose(120)
     made = [(i, prose(150)) for i in range(20)]
