@@ -2,11 +2,11 @@
 
 Texts are lower-cased and cut into words at everything but letters and digits; a set has the distinct hashes
 of five words in a row.  The search finds short items inside long documents by MinHash containment: items
-are partitioned by size (powers of two of their set's size), an item is represented by the REGISTERS least
+have a size class (powers of two of their set's size), an item is represented by the REGISTERS least
 members of its set under a second hash (all of them, if it has fewer), and as these are a uniform sample of
-its set, the share of them that a document holds estimates how much of the item it contains.  Each size class
-has its own number of registers, needed hits and least document size.  Documents are looked up in the index
-of sampled members; candidates are then confirmed on the full sets.
+its set, the share of them that a document holds estimates how much of the item it contains.  The hits needed
+depend on the item's own size; its size class is carried along only and has no effect.  Documents are looked up
+in the index of sampled members; candidates are then confirmed on the full sets.
 
 The index grows with the benchmark, not with the documents; it is broadcast only if it is small (BROADCAST_ROWS)
 and joined by shuffling otherwise.  Null and empty texts, and items of under five words, match nothing.
