@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError, Py4JNetworkError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,24 +23,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_pass(df: DataFrame, columns: list[Column], schema: str, batch: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
+def release() -> None:
+    """Gives freed Arrow memory back to the system."""
+    pa.default_memory_pool().release_unused()
+
+
+def arrow_pass(df: DataFrame, columns: list[Column], schema: str, batch: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], whole: bool = False) -> DataFrame:
     """Runs batch over the chosen columns, one Arrow batch after the other; rows stay where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield from batch(b)
+        try:
+            for b in batches:
+                if b.num_rows:
+                    yield from batch(b)
+        finally:
+            release()
 
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have."""
+    taken, k = {c.lower() for c in df.columns}, 0
+    while f"{stem}_{k}" in taken:
+        k += 1
+    return f"{stem}_{k}"
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, small: bool = False) -> DataFrame:
+    """docs without the rows whose doc_id is in the only column of ids, which are distinct; rows without doc_id stay."""
+    gone = unused(docs, "gone")
+    ids = ids.toDF(gone)
+    return docs.join(F.broadcast(ids) if small else ids, docs["doc_id"].cast("long") == F.col(gone), "left_anti")
+
+
+def labelled(labels: DataFrame, column: str) -> DataFrame:
+    """(id, label) of the ids outside the held-out third; ids whose labels disagree are left out."""
+    known = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col(column).cast("int").alias("label"))
+    return known.where(~held_out("id")).groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("id", "label")
+
+
+def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(text, id, label) for the bounded table chosen (id, label): of rows with one doc_id the text of least hash counts."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    return rows.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")).select("text", "id", "label")
+
+
 def id_and_text(extra: tuple[Column, ...] = ()) -> list[Column]:
     return [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra]
 
 
-def held_out() -> Column:
+def held_out(name: str = "doc_id") -> Column:
     """True for the third of the ids on which learned operators are judged and from which they never learn."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
@@ -56,20 +93,32 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataF
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where the session names none (as in tests) one of our own."""
+    """The cluster's shared folder; only where the session names none and all runs in one process (as in tests) one of our own."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named
     if (own := spark.sparkContext.getCheckpointDir()) is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         own = spark.sparkContext.getCheckpointDir()
     return own
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
-    """Parquet tables in the shared folder that cut lineage; a lost executor costs no recomputation beyond them."""
+    """Parquet tables in the shared folder that cut lineage; a lost executor costs no recomputation beyond them.
+
+    What a returned plan still reads stays until the driver ends; then the whole folder goes.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.made = spark, f"{checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}", 0
+        atexit.register(self.clear)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.made += 1
@@ -79,10 +128,12 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in frames:
-            for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-                path = jvm.org.apache.hadoop.fs.Path(f)
-                with contextlib.suppress(Exception):
-                    path.getFileSystem(conf).delete(path, True)
+            for path in {x.rpartition("/")[0] for x in df.inputFiles()}:
+                _delete(self.spark, path)
+
+    def clear(self) -> None:
+        if self.spark.sparkContext._jsc is None:
+            return
+        with contextlib.suppress(Py4JError, Py4JNetworkError, OSError):  # the JVM may have ended before
+            _delete(self.spark, self.root)

@@ -3,10 +3,11 @@
 The profile of a language, or of a text, ranks its PROFILE most frequent letter sequences of one to three
 characters, word ends included.  A text's distance to a language is the sum over its sequences of the
 differences of ranks, sequences that the language's profile lacks counting PROFILE; the nearest language wins,
-the first by name among equals.
+the first by name among equals.  Counts of a language are summed by batch, then by sequence; a task sends on only
+its PROFILE most frequent sequences of a language to be ranked.
 
 Null texts and texts without a letter give und and score 0, and so do all if no language was learned.  Rows
-with null language are not learned from.  Every row is predicted, repeated ones each; extra columns are ignored.
+with null language are not learned from.  Very long texts are read whole.  Every row is predicted, repeated ones each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(counts)], ["lang", "code", "n"])
 
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    summed = arrow_pass(rows, [F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")], "lang string, code long, n long", batch).groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    summed = arrow_pass(rows, [F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")], "lang string, code long, n long", batch, whole=True).groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = summed.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("rank") <= PROFILE)
     out: dict[str, list[tuple[int, int]]] = {}
     for r in best.select("lang", "rank", "code").collect():  # PROFILE rows a language

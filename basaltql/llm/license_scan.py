@@ -7,7 +7,8 @@ must hold one of its rarest words (prefix filter), enough distinct words (length
 words that follow the first common one in this order (positional filter); what passes is counted exactly.
 
 Besides, phrases give labels where their words stand consecutively.  Null and empty texts have no words and
-no labels.  Every row is scanned, repeated ones each; extra columns are ignored.
+no labels.  Words of equal frequency go by their letters.  Very long texts are scanned whole.  Every row is scanned,
+repeated ones each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +26,30 @@ from basaltql.llm.common import arrow_pass, id_and_text
 
 #: Phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Words of public license notices.
+#: The words of public license notices, clause by clause; templates is a parameter for more.
 TEMPLATES = {
-    "mit": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"],
-    "apache-2": ["licensed under the apache license version 2 0", "you may not use this file except in compliance with the license"],
+    "mit": [
+        "released under the mit license",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    ],
+    "apache-2": [
+        "licensed under the apache license version 2 0",
+        "you may not use this file except in compliance with the license",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ],
     "cc-by-nc": ["licensed under cc by nc 4 0", "licensed under a creative commons attribution noncommercial 4 0 international license"],
-    "gpl-3": ["this work is licensed under the gnu general public license version 3", "either version 3 of the license or at your option any later version gnu general public license"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
+    "gpl-3": [
+        "this work is licensed under the gnu general public license version 3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    ],
+    "bsd": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ],
+    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
 }
 PERCENT = 90
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -44,7 +62,7 @@ def frequencies(docs: DataFrame, words: list[str]) -> dict[str, int]:
 
     def batch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         count = np.zeros(len(words), np.int64)
-        for _, part in H.groups(b.column(0).to_pylist()):
+        for _, part in H.groups(t.as_py() for t in b.column(0)):
             h, first, *_ = H.words(part, H.NOT_ALNUM)
             i = np.minimum(np.searchsorted(known[order], h), len(words) - 1)
             hit = np.flatnonzero(known[order][i] == h)
@@ -53,7 +71,7 @@ def frequencies(docs: DataFrame, words: list[str]) -> dict[str, int]:
             count += np.bincount(pairs % len(words), minlength=len(words))
         yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(count)], ["word", "n"])
 
-    return {r.word: r.n for r in arrow_pass(docs, [F.col("text").cast("string").alias("text")], "word string, n long", batch).groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    return {r.word: r.n for r in arrow_pass(docs, [F.col("text").cast("string").alias("text")], "word string, n long", batch, whole=True).groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
 class Join:

@@ -3,11 +3,11 @@
 A document is cut at blank lines into sections (and, where there are none, after paragraphs whose digest
 ends in three zero bits, so that cuts move with the text), a section into paragraphs at line ends, a
 paragraph into sentences.  A node's digest covers its children's, so roots are equal exactly for equal texts
-and only differing branches need be compared: likeness() goes down from the root and counts the characters
-below nodes that both trees hold.
+and only differing branches need be compared: compare() goes down from the root, pairs nodes that both trees hold
+(the first of equals with the first) and gives the character ranges of the leaves below those that differ.
 
 Null texts count as empty; two empty texts have likeness 1.  Documents with one doc_id follow each other in
-the order of their texts.  Extra columns are ignored.
+the order of their texts.  Very long texts are hashed whole, one at a time.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basaltql.llm.common import Scratch, id_and_text
+from basaltql.llm.common import Scratch, id_and_text, release
 
 _SENTENCE = re.compile(r"[^.!?;|]{1,48}[.!?;|]*|[.!?;|]+", re.S)
 Node = tuple[bytes, int, list]
@@ -50,24 +50,57 @@ def tree(text: str) -> Node:
     return _digest([s[0] for s in sections], b"document"), len(text), sections
 
 
-def likeness(a: Node, b: Node) -> float:
-    """Twice the characters below common nodes over all characters: 1 for equal trees, 0 for trees without a common node."""
+Placed = tuple[int, Node]
+
+
+def _level(side: list[Placed]) -> list[Placed]:
+    """The children of nodes, each with its first character."""
+    out = []
+    for at, node in side:
+        for child in node[2]:
+            out.append((at, child))
+            at += child[1]
+    return out
+
+
+def _ranges(side: list[Placed]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for at, node in side:
+        if out and out[-1][1] == at:
+            out[-1] = out[-1][0], at + node[1]
+        elif node[1]:
+            out.append((at, at + node[1]))
+    return out
+
+
+def compare(a: Node, b: Node) -> tuple[float, list[tuple[int, int]], list[tuple[int, int]]]:
+    """(likeness, ranges of a, ranges of b): the characters of each text below branches that the other tree does not hold.
+
+    The likeness is twice the characters below common nodes over all characters: 1 for equal trees, 0 for trees
+    without a common node.  Only branches that differ are gone into.
+    """
     if a[0] == b[0]:
-        return 1.0
-    left, right, common = [a], [b], 0
+        return 1.0, [], []
+    left, right, common = [(0, a)], [(0, b)], 0
     for _ in range(3):
-        left, right = [c for x in left for c in x[2]], [c for x in right for c in x[2]]
-        both = Counter(x[0] for x in left) & Counter(x[0] for x in right)
-        for side, rest in ((left, []), (right, [])):
-            open_, counted = both.copy(), side is left
-            for x in side:
+        left, right = _level(left), _level(right)
+        both = Counter(x[0] for _, x in left) & Counter(x[0] for _, x in right)
+        sides = []
+        for side in (left, right):
+            open_, rest = both.copy(), []
+            for at, x in side:
                 if open_[x[0]] > 0:
                     open_[x[0]] -= 1
-                    common += x[1] * counted
+                    common += x[1]
                 else:
-                    rest.append(x)
-            side[:] = rest
-    return 2.0 * common / max(1, a[1] + b[1])
+                    rest.append((at, x))
+            sides.append(rest)
+        left, right = sides
+    return common / max(1, a[1] + b[1]), _ranges(left), _ranges(right)
+
+
+def likeness(a: Node, b: Node) -> float:
+    return compare(a, b)[0]
 
 
 def edited(text: str, following: str) -> str:
@@ -76,15 +109,16 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - quarter] + following[:quarter]
 
 
-_FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
-_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("edits", pa.list_(pa.list_(pa.int64())))]
+_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edits array<array<bigint>>"
 _EDGES = [("at", pa.int32()), ("edge", pa.string()), ("text", pa.string())]
 
 
 def _compared(doc_id: int | None, text: str, t: Node, following: str, n: Node) -> tuple:
     changed = edited(text, following)
     e = tree(changed)
-    return doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), t[0].hex(), e[0].hex(), likeness(t, e), likeness(t, n)
+    near, places, _ = compare(t, e)
+    return doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), t[0].hex(), e[0].hex(), near, likeness(t, n), [list(x) for x in places]
 
 
 def _batch(rows: list[tuple], fields: list) -> pa.RecordBatch:
@@ -96,17 +130,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, len(t or ""), tree(t or "")[0].hex()) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            texts = (t.as_py() or "" for t in b.column(1))
+            rows = [(i, len(t), tree(t)[0].hex()) for i, t in zip(b.column(0).to_pylist(), texts, strict=True)]
             yield _batch(rows, [_FIELDS[0], _FIELDS[1], _FIELDS[3]])
 
     return docs.select(*id_and_text()).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
 def compare_with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and their likeness to each other and to the next document's.
+    """Fingerprints of every text and of its edited text, their likeness to each other and to the next document's, and edits:
+    the character ranges [from, to) of the text below branches that the edited text's tree does not hold.
 
     One range shuffle puts documents in order.  A partition finishes all its documents but the last, whose
-    neighbour opens the next partition: first and last texts, two for each partition, meet in a second small step.
+    neighbour opens the next partition that is not empty: first and last texts, two for each partition, meet in a
+    join by partition.  Only the numbers of the partitions, never texts, are ordered in one task.
     """
 
     def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +155,7 @@ def compare_with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 text = x.as_py() or ""
                 t = tree(text)
                 if last is None:
-                    done.append((i, *[None] * 6, at, "first", text))
+                    done.append((i, *[None] * 7, at, "first", text))
                 else:
                     done.append((*_compared(*last, text, t), None, None, None))
                 last = i, text, t
@@ -126,23 +163,24 @@ def compare_with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
                     yield _batch(done, _FIELDS + _EDGES)
                     done = []
         if last is not None:
-            yield _batch([*done, (last[0], *[None] * 6, at, "last", last[1])], _FIELDS + _EDGES)
+            yield _batch([*done, (last[0], *[None] * 7, at, "last", last[1])], _FIELDS + _EDGES)
+        release()
 
     scratch = Scratch(spark)
     ordered = docs.select(*id_and_text()).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     found = scratch.keep(ordered.mapInArrow(in_order, f"{_SCHEMA}, at int, edge string, text string"))
 
-    edges = found.where("edge is not null")
-    every = Window.orderBy("at", "edge")  # two rows for each partition
-    paired = edges.select("doc_id", "text", "edge", F.lead("text").over(every).alias("following")).where("edge = 'last'")
-    first = edges.where("edge = 'first'").orderBy("at").limit(1).select(F.col("text").alias("first_text"))
+    first = found.where("edge = 'first'").select(F.col("at").alias("next_at"), F.col("text").alias("following"))
+    used = found.where("edge = 'last'").select("at")  # a number for each partition
+    whole = Window.partitionBy()
+    after = used.select("at", F.coalesce(F.lead("at").over(Window.orderBy("at")), F.min("at").over(whole)).alias("next_at"))
+    paired = found.where("edge = 'last'").select("doc_id", "text", "at").join(after, "at").join(first, "next_at")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for i, text, following in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rows.append(_compared(i, text, tree(text), following, tree(following)))
-            yield _batch(rows, _FIELDS)
+            for i, text, following in zip(*b.columns, strict=True):
+                text, following = text.as_py(), following.as_py()
+                yield _batch([_compared(i.as_py(), text, tree(text), following, tree(following))], _FIELDS)
 
-    finished = paired.join(F.broadcast(first)).select("doc_id", "text", F.coalesce("following", "first_text").alias("following")).mapInArrow(finish, _SCHEMA)
+    finished = paired.select("doc_id", "text", "following").mapInArrow(finish, _SCHEMA)
     return found.where("edge is null").select(*(name for name, _ in _FIELDS)).unionByName(finished)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basaltql.llm import hashing as H
-from basaltql.llm.common import Scratch, arrow_pass, id_and_text, spread_join
+from basaltql.llm.common import Scratch, arrow_pass, id_and_text, spread_join, without_ids
 from basaltql.llm.components import connected_components
 
 REGISTERS, ROWS, BASE = 96, 4, 1.02
@@ -131,9 +131,10 @@ def _estimated(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 def families(spark: SparkSession, distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, family) of the sets that share a bucket with a similar one."""
-    rows = _bands(distinct)
+    rows = scratch.keep(_bands(distinct))
     counted = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
     active = scratch.keep(spread_join(rows, counted, "bucket", distinct.count() * BANDS))
+    scratch.drop(rows)
     ties = None
     for turn in range(ROUNDS):
         order = F.struct(F.xxhash64("id", F.lit(turn)), F.col("id"))
@@ -290,5 +291,4 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id, in the columns of docs."""
-    gone = near_duplicates(spark, docs, width, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    return without_ids(docs, near_duplicates(spark, docs, width, percent).where("not kept").select("doc_id").distinct())

@@ -4,10 +4,12 @@ Features of a text are the shares of byte-class trigrams (letters by case, digit
 space) and of repeated words and lines, weighted by inverse document frequency.  The leading singular vectors
 of a bounded labelled sample span the latent space; its labelled vectors are broadcast, every document is
 compared with all of them by blocked products of unit vectors, and its NEIGHBOURS nearest vote with weights
-that grow with the cosine.
+that grow with the cosine.  Cosines count to six digits; all that equal the last neighbour's vote too, so that no
+order of the sample matters.
 
 Null and empty texts have no features: their score is the share of good texts in the sample.  Without labelled
-training rows every score is 0.5.  Every row is scored, repeated ones each; extra columns are ignored.
+training rows every score is 0.5.  Ids whose labels disagree teach nothing; of rows with one doc_id the text of least
+hash does.  Very long texts are read whole.  Every row is scored, repeated ones each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basaltql.llm import hashing as H
-from basaltql.llm.common import arrow_pass, held_out, id_and_text
-from basaltql.llm.toxicity import held_out_id
+from basaltql.llm.common import arrow_pass, held_out, id_and_text, labelled, texts_of
 
 #: The bound of the labelled sample, for each label; dimensions; voters.
 ROWS_PER_LABEL, DIMENSIONS, NEIGHBOURS, SHARPNESS, THRESHOLD = 1500, 48, 15, 12.0, 0.5
@@ -88,33 +89,31 @@ class Model:
         if not len(self.label):
             return np.full(len(texts), 0.5)
         out = np.empty(len(texts))
-        for i in range(0, len(texts), 512):
-            x = features(texts[i : i + 512])
-            cosine = self.latent(x) @ self.known.T
+        for i in range(0, len(texts), 256):
+            x = features(texts[i : i + 256])
+            cosine = np.round(self.latent(x) @ self.known.T, 6)
             k = min(NEIGHBOURS, cosine.shape[1])
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            vote = np.exp(SHARPNESS * (np.take_along_axis(cosine, near, axis=1) - 1))
-            out[i : i + 512] = np.where(x.any(axis=1), (vote * self.label[near]).sum(axis=1) / vote.sum(axis=1), self.label.mean())
+            last = np.partition(cosine, -k, axis=1)[:, -k]
+            row, near = np.nonzero(cosine >= last[:, None])
+            vote = np.exp(SHARPNESS * (cosine[row, near].astype(np.float64) - 1))
+            share = np.bincount(row, vote * self.label[near], len(x)) / np.bincount(row, vote, len(x))
+            out[i : i + 256] = np.where(x.any(axis=1), share, self.label.mean())
         return np.clip(out, 0.0, 1.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model of at most ROWS_PER_LABEL training rows of each label, the least by hash of their id."""
-    known = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("int").alias("__label"))
-    known = known.where(~held_out_id("__id")).dropDuplicates(["__id"])
-    sample = None
+    known, sample = labelled(labels, "quality"), None
     for label in (0, 1):
-        some = known.where(F.col("__label") == label).orderBy(F.xxhash64("__id"), "__id").limit(ROWS_PER_LABEL)
+        some = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(ROWS_PER_LABEL)
         sample = some if sample is None else sample.unionAll(some)
-    texts = docs.join(F.broadcast(sample), docs["doc_id"].cast("long") == F.col("__id"))
+    texts = texts_of(docs, sample)
 
     def batch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for i in range(0, b.num_rows, 256):
-            part = b.slice(i, 256)
-            x = features(part.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "label", "x"])
+        x = features(b.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "label", "x"])
 
-    rows = arrow_pass(texts, [F.col("text").cast("string").alias("text"), F.col("__id"), F.col("__label")], "id long, label int, x binary", batch).toArrow()
+    rows = arrow_pass(texts, [F.col("text"), F.col("id"), F.col("label")], "id long, label int, x binary", batch).toArrow()
     if len(set(rows.column("label").to_pylist())) < 2:
         return Model(*(np.zeros(0, np.float32) for _ in range(4)))
     order = np.lexsort((rows.column("label").to_numpy(), rows.column("id").to_numpy()))

@@ -67,16 +67,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _CONTAINED = r"""
 WITH words AS (
-  SELECT doc_id AS id, false AS item, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents WHERE doc_id IS NOT NULL
+  SELECT doc_id AS id, row_number() OVER () AS r, false AS item, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents WHERE doc_id IS NOT NULL
   UNION ALL
-  SELECT item_id, true, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') FROM benchmark WHERE item_id IS NOT NULL),
+  SELECT item_id, 0, true, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') FROM benchmark WHERE item_id IS NOT NULL),
 shingles AS (
-  SELECT DISTINCT id, item, w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4] AS s
-  FROM (SELECT id, item, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)),
+  SELECT DISTINCT id, r, item, w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4] AS s
+  FROM (SELECT id, r, item, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)),
 sizes AS (SELECT id AS item_id, count(*) AS n_item FROM shingles WHERE item GROUP BY id),
-shared AS (
-  SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared
-  FROM shingles d JOIN shingles b ON d.s = b.s AND b.item AND NOT d.item GROUP BY d.id, b.id)
+counted AS (
+  SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n
+  FROM shingles d JOIN shingles b ON d.s = b.s AND b.item AND NOT d.item GROUP BY d.id, d.r, b.id),
+shared AS (SELECT doc_id, item_id, max(n) AS n_shared FROM counted GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM shared JOIN sizes USING (item_id)
 WHERE 100 * n_shared >= 80 * n_item
 """

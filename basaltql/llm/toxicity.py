@@ -11,7 +11,10 @@ A hit counts less if it is a misspelling, and less if its context window quotes
 or a word of reporting before it.  The score is one less the product of the complements of all hits' weights.
 
 Null and empty texts, and texts without a hit, have score 0.  Every row is scored, repeated ones each;
-extra columns are ignored.  Without labelled training rows of both kinds the lexicon is empty.
+extra columns are ignored.  Words have any length: stems are looked up in all of them, the automaton runs where the
+length admits a term.  Very long texts are scored whole, a million bytes or one text at a time.  Ids whose labels
+disagree teach nothing; of rows with one doc_id the text of least hash does.  Terms of equal evidence go by their
+letters.  Without labelled training rows of both kinds the lexicon is empty.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basaltql.llm import hashing as H
-from basaltql.llm.common import Scratch, arrow_pass, held_out, id_and_text
+from basaltql.llm.common import Scratch, arrow_pass, held_out, id_and_text, labelled, texts_of
 
-#: The bound of the labelled sample, and of the lexicon.
-TRAINING_ROWS, TERMS = 8_000, 512
+#: The bound of the labelled sample; the lexicon holds no more than the words of its toxic texts.
+TRAINING_ROWS = 8_000
 #: A term's texts must be so unlikely by chance (negative logarithm), and toxic in this share.
 EVIDENCE, PRECISION = 12.0, 0.93
 STEMS = range(4, 9)
@@ -44,6 +47,8 @@ class Trie:
 
     def __init__(self, terms: list[tuple[str, bool, float]]):
         self.root: list = [{}, 0.0, 0.0]
+        #: No longer word can be within a distance beyond it.
+        self.longest = max((len(t) for t, stem, _ in terms if not stem), default=0)
         for term, stem, weight in terms:
             node = self.root
             for c in term:
@@ -59,6 +64,8 @@ class Trie:
                 break
             best = max(best, (node[2], 0))
         n = len(word)
+        if n > self.longest + distance:
+            return best[0], 0
         # States of the automaton: the row of edit distances between the trie's path and the word's beginnings.
         stack = [(self.root, list(range(n + 1)))]
         while stack:
@@ -114,11 +121,10 @@ class Lexicon:
                 near[long[np.isin(H.mix(begin), known)]] = True
         bits = np.uint64(1) << (a & np.uint8(63)).astype(np.uint64)
         mask = np.zeros(len(n), np.uint64)
-        for i in range(int(n.max(initial=0)) if len(n) else 0):
-            long = np.flatnonzero(n > i) if i else np.arange(len(n))
-            if i >= 64:  # so long a word is no term
-                break
-            mask[long] |= bits[starts[long] + i]
+        fits = np.flatnonzero(n <= self.length.max(initial=0) + 4)  # a longer word is near no term
+        for i in range(int(n[fits].max(initial=0))):
+            fits = fits[n[fits] > i]
+            mask[fits] |= bits[starts[fits] + i]
         high = np.concatenate([[0], np.cumsum(a >= 0x80)])
         wide = high[ends] > high[starts]
         head, tail = a[starts].astype(np.int64) << 8 | a[np.minimum(starts + 1, len(a) - 1)], a[np.maximum(ends - 2, 0)].astype(np.int64) << 8 | a[ends - 1]
@@ -135,7 +141,7 @@ class Lexicon:
             if len(self.weights) >= 100_000:
                 self.weights.clear()
             w = raw.decode("utf-8", "replace")
-            self.weights[raw] = self.trie.best(w, int(len(w) >= 5))[0] if len(w) <= 40 else 0.0
+            self.weights[raw] = self.trie.best(w, int(len(w) >= 5))[0]
         return self.weights[raw]
 
     def scores(self, texts: list[str | None]) -> list[float]:
@@ -189,7 +195,7 @@ def _choose(counts: list[tuple[str, bool, int, int, int]], toxic: int, other: in
     chosen: list[tuple[str, bool, float]] = []
     stems: set[str] = set()
     for _, text, stem, share in good:
-        if len(chosen) < TERMS and not any(text[:k] in stems for k in STEMS):
+        if not any(text[:k] in stems for k in STEMS):
             chosen.append((text, stem, float(share)))
             if stem:
                 stems.add(text)
@@ -202,7 +208,7 @@ def _stems(words: set[str]) -> set[tuple[str, bool]]:
 
 def _words(text: str | None) -> list[str]:
     low = (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "replace")
-    return [w for w in "".join([c if c.isalnum() else " " for c in low]).split() if len(w) <= 40]
+    return [w for w in "".join([c if c.isalnum() else " " for c in low]).split()]
 
 
 def _family(words: list[str]) -> int:
@@ -213,18 +219,14 @@ def _family(words: list[str]) -> int:
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """The lexicon of at most TRAINING_ROWS labelled rows outside the held-out third, the least by hash of their id."""
     spark = docs.sparkSession
-    known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("__toxic"))
-    known = known.where(~held_out_id("__id")).dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(TRAINING_ROWS)
-    texts = docs.join(F.broadcast(known), docs["doc_id"].cast("long") == F.col("__id"))
+    texts = texts_of(docs, labelled(labels, "toxic").orderBy(F.xxhash64("id"), "id").limit(TRAINING_ROWS))
 
     def vocabulary(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for i in range(0, b.num_rows, 256):
-            part = b.slice(i, 256)
-            words = [_words(t) for t in part.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(map(_family, words), pa.int64()), pa.array([sorted(set(x)) for x in words], pa.list_(pa.string()))], ["toxic", "family", "words"])
+        words = [_words(t) for t in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(map(_family, words), pa.int64()), pa.array([sorted(set(x)) for x in words], pa.list_(pa.string()))], ["toxic", "family", "words"])
 
     scratch = Scratch(spark)
-    made = arrow_pass(texts, [F.col("text").cast("string").alias("text"), F.col("__toxic")], "toxic int, family long, words array<string>", vocabulary)
+    made = arrow_pass(texts, [F.col("text"), F.col("label")], "toxic int, family long, words array<string>", vocabulary)
     sample = scratch.keep(made.groupBy("family", "toxic").agg(F.min("words").alias("words")))
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
@@ -242,7 +244,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
         terms = list(count)
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in terms]), pa.array([s for _, s in terms]), pa.array([count[t] for t in terms], pa.int64()), pa.array([sorted(kinds[t]) if s else [] for t, s in terms], pa.list_(pa.string()))], ["text", "stem", "n", "kinds"])
 
-    toxic = arrow_pass(sample.where("toxic = 1"), [F.col("words")], "text string, stem boolean, n long, kinds array<string>", in_toxic)
+    toxic = arrow_pass(sample.where("toxic = 1"), [F.col("words")], "text string, stem boolean, n long, kinds array<string>", in_toxic, whole=True)
     toxic = toxic.groupBy("text", "stem").agg(F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds")).where("n >= 3 and (not stem or kinds >= 3)")
     found = {(r.text, r.stem): (r.n, r.kinds) for r in toxic.collect()}  # bounded by the words of TRAINING_ROWS texts
     wanted = spark.sparkContext.broadcast(frozenset(found))
@@ -254,16 +256,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
         if count:
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in count]), pa.array([s for _, s in count]), pa.array(list(count.values()), pa.int64())], ["text", "stem", "n"])
 
-    others = arrow_pass(sample.where("toxic = 0"), [F.col("words")], "text string, stem boolean, n long", in_others)
+    others = arrow_pass(sample.where("toxic = 0"), [F.col("words")], "text string, stem boolean, n long", in_others, whole=True)
     against = {(r.text, r.stem): r.n for r in others.groupBy("text", "stem").agg(F.sum("n").alias("n")).collect()}
     scratch.drop(sample)
     return Lexicon(_choose([(text, stem, n, against.get((text, stem), 0), kinds) for (text, stem), (n, kinds) in found.items()], sizes[1], sizes[0]))
 
 
-def held_out_id(name: str):
-    return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % 3 == 1, F.lit(False))
-
-
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text."""
 
