@@ -25,7 +25,7 @@ from basaltql.llm.common import arrow_pass, id_and_text
 _NONE = 1 << 62
 _LOW = (1 << 32) - 1
 #: Pieces whose ids a worker remembers; longer pieces than CACHED_BYTES are never remembered.
-CACHE_PIECES, CACHED_BYTES = 400_000, 64
+CACHE_PIECES, CACHED_BYTES = 200_000, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,19 +24,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Arrow batches are worked on in slices of about so many bytes.
+SLICE_BYTES = 4 << 20
+
+
+def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about SLICE_BYTES, so that Python never holds all texts of a batch as objects."""
+    rows = max(1, int(b.num_rows * SLICE_BYTES // max(1, b.get_total_buffer_size())))
+    for at in range(0, b.num_rows, rows):
+        yield b.slice(at, rows)
+
+
 def release() -> None:
-    """Gives freed Arrow memory back to the system."""
+    """Gives freed memory back to the system: workers are kept for later stages, beside which it would count."""
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def arrow_pass(df: DataFrame, columns: list[Column], schema: str, batch: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], whole: bool = False) -> DataFrame:
-    """Runs batch over the chosen columns, one Arrow batch after the other; rows stay where they are."""
+    """Runs batch over the chosen columns, slice by slice (or, if whole, one Arrow batch after the other); rows stay where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             for b in batches:
-                if b.num_rows:
-                    yield from batch(b)
+                for part in [b] if whole else slices(b):
+                    if part.num_rows:
+                        yield from batch(part)
         finally:
             release()
 
