@@ -148,6 +148,7 @@ class Scratch:
                 _delete(self.spark, path)
 
     def clear(self) -> None:
+        """Deletes all tables."""
         if self.spark.sparkContext._jsc is None:
             return
         with contextlib.suppress(Py4JError, Py4JNetworkError, OSError):  # the JVM may have ended before

@@ -270,7 +270,7 @@ def _exact_links(spark: SparkSession, members: DataFrame, percent: int, scratch:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row; documents are linked when 100 * intersection >= percent * union."""
-    scratch = Scratch(spark)
+    scratch, kept = Scratch(spark), Scratch(spark)
     made = scratch.keep(sketches(docs, width))
     one = made.where("doc_id is not null and set_hash is not null")
     same = one.groupBy("doc_id").agg(F.min("set_hash").alias("set_hash")).groupBy("set_hash").agg(F.min("doc_id").alias("id"))
@@ -280,13 +280,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     sets = _full_sets(spark, docs, family, width)
     members = scratch.keep(family.join(sets, "id").join(distinct.select("id", "set_hash"), "id").where("length(words) > 0").groupBy("id", "family").agg(F.min("words").alias("words")))
     links = scratch.keep(_exact_links(spark, members, percent, scratch))
+    scratch.drop(members)
     component = connected_components(spark, links, scratch)
     of_set = distinct.join(component, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
     # Ids are unique as a rule; a repeated one belongs to the set of its least set hash.
     label = spread_join(one.groupBy("doc_id").agg(F.min("set_hash").alias("set_hash")), of_set, "set_hash", one.count()).select("doc_id", "component_id")
     out = made.select("doc_id", "n_shingles").join(label, "doc_id", "left")
     root = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
+    # Only the result stays on disk.
+    out = kept.keep(out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept")))
+    scratch.clear()
+    return out
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
