@@ -29,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,16 +59,22 @@ def minimizers(s: np.ndarray, text: np.ndarray) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
-def _sides(h: np.ndarray, low: np.ndarray, high: np.ndarray, w: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """Of the seed at word w: SIDE words before and after it, nearest first, each as 12 bits of its hash (0 beyond the text);
-    hashes of the WIDE words before and after it (0 where there are fewer)."""
-    code = (h % np.uint64(4095)).astype(np.int64) + 1
-    left, right = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
+#: A side is one 64-bit value: SIDE words, nearest first, with BITS bits of each one's hash (0 beyond the text), and above them
+#: the rest of the bits for a hash of the WIDE words next to the seed (0 where there are fewer).
+BITS = 9
+_FAR = np.uint64(BITS * SIDE)
+_NEAR_MASK = np.uint64((1 << BITS * SIDE) - 1)
+
+
+def _sides(h: np.ndarray, low: np.ndarray, high: np.ndarray, w: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sides before and after the seed at word w."""
+    code = h % np.uint64((1 << BITS) - 1) + np.uint64(1)
+    left, right, nothing = np.zeros(len(w), np.uint64), np.zeros(len(w), np.uint64), np.uint64(0)
     for k in range(SIDE):
         at = w - 1 - k
-        left |= np.where(at >= low, code[np.maximum(at, 0)], 0) << (12 * k)
+        left |= np.where(at >= low, code[np.maximum(at, 0)], nothing) << np.uint64(BITS * k)
         at = w + width + k
-        right |= np.where(at < high, code[np.minimum(at, len(h) - 1)], 0) << (12 * k)
+        right |= np.where(at < high, code[np.minimum(at, len(h) - 1)], nothing) << np.uint64(BITS * k)
     power, inverse = H._power_tables(len(h) + 1)
     total = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * power[: len(h)], out=total[1:])
@@ -77,17 +82,17 @@ def _sides(h: np.ndarray, low: np.ndarray, high: np.ndarray, w: np.ndarray, widt
     def wide(begin: np.ndarray, fits: np.ndarray) -> np.ndarray:
         at = np.where(fits, begin, 0)
         end = np.minimum(at + WIDE, len(h))
-        return np.where(fits, (H.mix((total[end] - total[at]) * inverse[at]) >> np.uint64(33)).astype(np.int64) + 1, 0)
+        return np.where(fits, np.maximum(H.mix((total[end] - total[at]) * inverse[at]) >> _FAR, np.uint64(1)), nothing) << _FAR
 
-    return left, right, wide(w - WIDE, w - WIDE >= low), wide(w + width, w + width + WIDE <= high)
+    return left | wide(w - WIDE, w - WIDE >= low), right | wide(w + width, w + width + WIDE <= high)
 
 
 def _equal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """How many words next to a seed are the same."""
     n, on = np.zeros(len(x), np.int64), np.ones(len(x), bool)
     for k in range(SIDE):
-        word = (x >> (12 * k)) & 4095
-        on &= (word > 0) & (word == (y >> (12 * k)) & 4095)
+        word = (x >> np.uint64(BITS * k)) & np.uint64((1 << BITS) - 1)
+        on &= (word > 0) & (word == (y >> np.uint64(BITS * k)) & np.uint64((1 << BITS) - 1))
         n += on
     return n
 
@@ -99,17 +104,18 @@ SEED, AFTER, BEFORE, FAR_AFTER, FAR_BEFORE, MATCHED = range(6)
 _LEVELS = {SEED: (SEED, AFTER, BEFORE, FAR_AFTER, FAR_BEFORE), AFTER: (AFTER, FAR_AFTER), BEFORE: (BEFORE, FAR_BEFORE), FAR_AFTER: (FAR_AFTER,), FAR_BEFORE: (FAR_BEFORE,)}
 
 
-def _key(level: int, key: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """The key of an occurrence at a level from its key one level before and the context that the level adds."""
-    return H.mix(key.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + context.astype(np.uint64) * np.uint64(8) + np.uint64(level)).view(np.int64)
+def _key(level: int, key: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """The key of an occurrence at a level from its key one level before and the part of the side that the level adds."""
+    part = side >> _FAR if level in (FAR_AFTER, FAR_BEFORE) else side & _NEAR_MASK
+    return H.mix(key.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + part * np.uint64(8) + np.uint64(level)).view(np.int64)
 
 
 def _keys(o: Rows) -> list[tuple[np.ndarray, np.ndarray]]:
     """(key, whether there is one) of occurrences at each level."""
-    seed, _, _, _, left, right, far_left, far_right = o
+    seed, _, _, _, left, right = o
     every = np.ones(len(seed), bool)
     after, before = _key(AFTER, seed, right), _key(BEFORE, seed, left)
-    return [(seed, every), (after, every), (before, every), (_key(FAR_AFTER, after, far_right), far_right > 0), (_key(FAR_BEFORE, before, far_left), far_left > 0)]
+    return [(seed, every), (after, every), (before, every), (_key(FAR_AFTER, after, right), right >> _FAR > 0), (_key(FAR_BEFORE, before, left), left >> _FAR > 0)]
 
 
 def _segments(o: Rows, later: np.ndarray, level: int, width: int, src: np.ndarray, s_pos: np.ndarray, s_left: np.ndarray, s_right: np.ndarray) -> Rows:
@@ -138,7 +144,7 @@ def _joined(found: Rows) -> Rows:
 
 
 def occurrences(ids: np.ndarray, versions: np.ndarray, part: list[bytes], width: int) -> Rows:
-    """seed, doc, version, pos, left, right, far_left, far_right of all occurrences of seeds in a group of texts."""
+    """seed, doc, version, pos, left, right of all occurrences of seeds in a group of texts."""
     h, first, *_ = H.words(part)
     s, text, word = H.shingles(h, first, width)
     i = minimizers(s, text)
@@ -176,11 +182,21 @@ def _spelled(schema: list[tuple[str, pa.DataType]]) -> str:
 
 _LONG, _INT = pa.int64(), pa.int32()
 _FOUND = [("doc", _LONG), ("version", _INT), ("start", _INT), ("end", _INT), ("src", _LONG), ("s_start", _INT)]
-#: Of a match (kind MATCHED) pos is the start, left the source, right the start there and far_left the length.
-_SEEDS = [("key", _LONG), ("doc", _LONG), ("version", _INT), ("pos", _INT), ("left", _LONG), ("right", _LONG), ("far_left", _INT), ("far_right", _INT), ("kind", pa.int8())]
+#: place is the version, the kind of key and the position (32, 4 and 28 bits); of a match (kind MATCHED), left is the source, right the start there and the length.
+_SEEDS = [("key", _LONG), ("doc", _LONG), ("place", _LONG), ("left", _LONG), ("right", _LONG)]
 _LEAST = [("key", _LONG), ("doc", _LONG), ("pos", _LONG), ("left", _LONG), ("right", _LONG)]
 
 
+def _seed_rows(key: np.ndarray, doc: np.ndarray, version: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+    yield from _batch([key, doc, version.astype(np.int64) << 32 | kind << 28 | pos, left.view(np.int64), right.view(np.int64)], _SEEDS)
+
+
+def _from_rows(columns: list[np.ndarray]) -> tuple[Rows, np.ndarray]:
+    """(occurrences, kinds) of rows of the seeds' schema."""
+    key, doc, place, left, right = columns
+    return (key, doc, place >> 32, place & ((1 << 28) - 1), left.view(np.uint64), right.view(np.uint64)), place >> 28 & 15
+
+
 def frequent_keys(docs: DataFrame, width: int) -> np.ndarray:
     """Keys of any level that very many occurrences have, sorted: at most 10 * HOT_KEYS.
 
@@ -223,7 +239,7 @@ def frequent_keys(docs: DataFrame, width: int) -> np.ndarray:
 def least_occurrences(docs: DataFrame, hot: np.ndarray, width: int) -> Rows:
     """key, doc, pos, left, right of the least occurrence of each frequent key, in the order of keys."""
     if not len(hot):
-        return tuple(np.zeros(0, np.int64) for _ in _LEAST)
+        return *(np.zeros(0, np.int64) for _ in range(3)), *(np.zeros(0, np.uint64) for _ in range(2))
     rows, columns = _texts(docs)
     known = docs.sparkSession.sparkContext.broadcast(hot)
 
@@ -237,11 +253,11 @@ def least_occurrences(docs: DataFrame, hot: np.ndarray, width: int) -> Rows:
             key, doc, pos, left, right = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((pos, doc, key))
             first = order[np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))]
-            yield from _batch([key[first], doc[first], pos[first], left[first], right[first]], _LEAST)
+            yield from _batch([key[first], doc[first], pos[first], left[first].view(np.int64), right[first].view(np.int64)], _LEAST)
 
     least = arrow_pass(rows, columns, _spelled(_LEAST), batch).groupBy("key").agg(F.min(F.struct("doc", "pos", "left", "right")).alias("o"))
-    made = least.select("key", "o.doc", "o.pos", "o.left", "o.right").orderBy("key").toArrow()
-    return tuple(c.to_numpy() for c in made.columns)
+    key, doc, pos, left, right = (c.to_numpy() for c in least.select("key", "o.doc", "o.pos", "o.left", "o.right").orderBy("key").toArrow().columns)
+    return key, doc, pos, left.view(np.uint64), right.view(np.uint64)
 
 
 def _known(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -265,7 +281,7 @@ def seeds(docs: DataFrame, width: int) -> DataFrame:
                 sent += [(near, is_hot[SEED] & ~is_hot[near]), (far, is_hot[SEED] & is_hot[near] & keys[far][1] & ~is_hot[far])]
             for kind, chosen in sent:
                 i = np.flatnonzero(chosen)
-                yield from _batch([keys[kind][0][i], *(x[i] for x in o[1:]), np.full(len(i), kind)], _SEEDS)
+                yield from _seed_rows(keys[kind][0][i], *(x[i] for x in o[1:]), kind)
             found = []
             for level, (key, there) in enumerate(keys):
                 above = {SEED: [], AFTER: [SEED], BEFORE: [SEED], FAR_AFTER: [SEED, AFTER], FAR_BEFORE: [SEED, BEFORE]}[level]
@@ -274,21 +290,20 @@ def seeds(docs: DataFrame, width: int) -> DataFrame:
                 earlier = l_doc[k] < o[1][i]
                 i, k = i[earlier], k[earlier]
                 found.append(_segments(o, i, level, width, l_doc[k], l_pos[k], l_left[k], l_right[k]))
-            yield from _batch(_as_rows(*(np.concatenate(x) for x in zip(*found, strict=True))), _SEEDS)
+            yield from _match_rows(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
     return arrow_pass(rows, columns, _spelled(_SEEDS), batch)
 
 
-def _as_rows(doc: np.ndarray, version: np.ndarray, start: np.ndarray, end: np.ndarray, src: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+def _match_rows(doc: np.ndarray, version: np.ndarray, start: np.ndarray, end: np.ndarray, src: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Matches as rows of the seeds' schema, joined on diagonals; keys spread them."""
     if not len(doc):
-        return [doc] * len(_SEEDS)
+        return
     # A document's versions are told apart while they are joined.
     both, back = np.unique(np.stack([doc, version]), axis=1, return_inverse=True)
     d, a, z, s, t = _joined((back.reshape(-1), start, end, src, at))
     doc, version = both[0][d], both[1][d]
-    zero = np.zeros(len(d), np.int64)
-    return [H.mix(doc.view(np.uint64) + a.astype(np.uint64)).view(np.int64), doc, version, a, s, t, z - a, zero, zero + MATCHED]
+    yield from _seed_rows(H.mix(doc.view(np.uint64) + a.astype(np.uint64)).view(np.int64), doc, version, a, s, t << 32 | (z - a), MATCHED)
 
 
 def match_runs(o: Rows, kind: np.ndarray, width: int) -> Iterator[Rows]:
@@ -305,12 +320,12 @@ def match_runs(o: Rows, kind: np.ndarray, width: int) -> Iterator[Rows]:
         return
     known: list[np.ndarray] = []  # pairs that a wider level has found
     codes: dict[int, np.ndarray] = {SEED: o[0]}
-    for level, above, context in ((AFTER, SEED, o[5]), (BEFORE, SEED, o[4]), (FAR_AFTER, AFTER, o[7]), (FAR_BEFORE, BEFORE, o[6])):
-        codes[level] = np.where(kind == level, o[0], _key(level, codes[above], context))
+    for level, above, side in ((AFTER, SEED, o[5]), (BEFORE, SEED, o[4]), (FAR_AFTER, AFTER, o[5]), (FAR_BEFORE, BEFORE, o[4])):
+        codes[level] = np.where(kind == level, o[0], _key(level, codes[above], side))
     for level in (FAR_AFTER, FAR_BEFORE, AFTER, BEFORE, SEED):
         on = np.isin(kind, [k for k, levels in _LEVELS.items() if level in levels])
         if level in (FAR_AFTER, FAR_BEFORE):
-            on &= (o[7] if level == FAR_AFTER else o[6]) > 0
+            on &= (o[5] if level == FAR_AFTER else o[4]) >> _FAR > 0
         i = np.flatnonzero(on)
         _, leader, back = np.unique(codes[level][i], return_index=True, return_inverse=True)
         partner = i[leader[back]]
@@ -331,18 +346,19 @@ def matches(docs: DataFrame, width: int) -> DataFrame:
         kept: list[list[np.ndarray]] = []
 
         def done(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for found in match_runs(tuple(arrays[:8]), arrays[8], width):
+            for found in match_runs(*_from_rows(arrays), width):
                 yield from _batch(list(found), _FOUND)
 
         for b in batches:
-            matched = b.filter(pc.equal(b.column(8), MATCHED))
-            if matched.num_rows:
-                _, doc, text, start, src, at, length, *_ = (c.to_numpy().astype(np.int64) for c in matched.columns)
-                yield from _batch([doc, text, start, start + length, src, at], _FOUND)
-            b = b.filter(pc.not_equal(b.column(8), MATCHED))
-            if not b.num_rows:
+            arrays = [c.to_numpy() for c in b.columns]
+            matched = (arrays[2] >> 28 & 15) == MATCHED
+            if matched.any():
+                (_, doc, text, start, *_), _ = _from_rows(arrays)
+                src, more = arrays[3][matched], arrays[4][matched]
+                yield from _batch([doc[matched], text[matched], start[matched], start[matched] + (more & 0xFFFFFFFF), src, more >> 32], _FOUND)
+                arrays = [x[~matched] for x in arrays]
+            if not len(arrays[0]):
                 continue
-            arrays = [c.to_numpy().astype(np.int64) for c in b.columns]
             # The last run may go on in the next batch.
             cut = int(np.searchsorted(arrays[0], arrays[0][-1]))
             if cut:
@@ -356,7 +372,7 @@ def matches(docs: DataFrame, width: int) -> DataFrame:
             yield from done([np.concatenate([k[i] for k in kept]) for i in range(len(_SEEDS))])
         release()
 
-    return seeds(docs, width).repartition("key").sortWithinPartitions("key", "doc", "version", "pos").mapInArrow(link, _spelled(_FOUND))
+    return seeds(docs, width).repartition("key").sortWithinPartitions("key", "doc", "place").mapInArrow(link, _spelled(_FOUND))
 
 
 def chain(start: np.ndarray, end: np.ndarray, s_start: np.ndarray, s_end: np.ndarray) -> list[list[int]]:
