@@ -40,5 +40,5 @@ def as_text(text: str, kind: str) -> str:
     if kind == "float":
         # Positional form with at least one decimal: exponents are written out through a decimal.
         wide = f"rtrim('0', format_number({text}, '0.##############################'))"
-        return f"CASE WHEN abs({text}) BETWEEN 1e-3 AND 9999999D OR {text} = 0 THEN CAST({text} AS STRING) WHEN {text} IS NULL THEN NULL WHEN instr({wide}, '.') = 0 THEN concat(format_number({text}, '0'), '.0') ELSE {wide} END"
+        return f"CASE WHEN isnan({text}) THEN 'NaN' WHEN {text} = double('Infinity') THEN 'inf' WHEN {text} = double('-Infinity') THEN '-inf' WHEN abs({text}) BETWEEN 1e-3 AND 9999999D OR {text} = 0 THEN CAST({text} AS STRING) WHEN {text} IS NULL THEN NULL WHEN instr({wide}, '.') = 0 THEN concat(format_number({text}, '0'), '.0') ELSE {wide} END"
     return f"CAST({text} AS STRING)"

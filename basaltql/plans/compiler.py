@@ -92,6 +92,10 @@ class Block:
     passed: dict[str, str] = field(default_factory=dict)
     wrapped: str | None = None
     in_from: bool = False
+    #: Columns of enclosing blocks that WHERE sets equal to a column of this block: (block, source, place) to that column.
+    equal: dict[tuple[int, str, int], tuple[Entry, int]] = field(default_factory=dict)
+    #: Whether the block uses a column of an enclosing one.
+    correlated: bool = False
 
     def find(self, n: Name) -> tuple[Entry, int] | None:
         found = [(e, i) for e in self.entries if n.owner in (None, e.alias) for i, (c, _) in enumerate(e.relation.columns) if c == n.column and i != e.relation.row_id]
@@ -104,16 +108,36 @@ class Block:
             return f"{self.wrapped}.{e.sql}_c{i}"
         return f"{e.sql}.c{i}"
 
-    def resolve(self, n: Name) -> tuple[str, str, bool]:
-        """(SQL, type, whether the column is this block's own)."""
+    def resolve(self, n: Name, carried: bool = False) -> tuple[str, str, bool]:
+        """(SQL, type, whether the column is this block's own); carried: a column further out is to become one of this block's rows."""
         if hit := self.find(n):
             return self.own(*hit), hit[0].relation.columns[hit[1]][1], True
-        block, depth = self.parent, 1
+        if found := self.outer(n):
+            block, hit = found
+            inner = self
+            while inner is not block:
+                inner.correlated, inner = True, inner.parent
+            return (self.hand_on if carried else self.reference)(block, hit), hit[0].relation.columns[hit[1]][1], False
+        raise EngineError(f"no such column: {header(n)}")
+
+    def outer(self, n: Name) -> tuple[Block, tuple[Entry, int]] | None:
+        """The nearest enclosing block that has the column, and its place there."""
+        block = self.parent
         while block:
             if hit := block.find(n):
-                return self.reference(block, hit), hit[0].relation.columns[hit[1]][1], False
-            block, depth = block.parent, depth + 1
-        raise EngineError(f"no such column: {header(n)}")
+                return block, hit
+            block = block.parent
+        return None
+
+    def note_equalities(self, where: Any) -> None:
+        """Where WHERE sets a column equal to one further out, inner blocks may use the former for the latter."""
+        for e in conjuncts(where):
+            if isinstance(e, Apply) and e.op == "=" and all(isinstance(a, Name) for a in e.args):
+                for mine, other in (e.args, e.args[::-1]):
+                    if (hit := self.find(mine)) and not self.find(other) and (far := self.outer(other)):
+                        block, place = far
+                        if hit[0].relation.columns[hit[1]][1] == place[0].relation.columns[place[1]][1]:
+                            self.equal.setdefault((id(block), place[0].sql, place[1]), hit)
 
     def reference(self, owner: Block, hit: tuple[Entry, int]) -> str:
         """SQL by which this block reaches a column of an enclosing block."""
@@ -122,6 +146,8 @@ class Block:
         return self.parent.hand_on(owner, hit)
 
     def hand_on(self, owner: Block, hit: tuple[Entry, int]) -> str:
+        if same := self.equal.get((id(owner), hit[0].sql, hit[1])):
+            return self.own(*same)
         if self.in_from:
             raise EngineError("not supported: a subquery in ON that refers to a block beyond the enclosing one")
         sql = self.reference(owner, hit)
@@ -145,31 +171,32 @@ class Context:
 class Query:
     sql: str
     columns: list[tuple[str, str]]
+    correlated: bool = False
 
 
 class Compiler:
     def __init__(self, spark: SparkSession, lookup: Callable[[str], Relation]):
         self.spark, self.lookup, self.frames, self.n = spark, lookup, {}, 0
 
+    def again(self) -> Compiler:
+        """A compiler of the same tables for another statement."""
+        return Compiler(self.spark, self.lookup)
+
     def fresh(self, prefix: str) -> str:
         self.n += 1
         return f"{prefix}{self.n}"
 
     # Expressions.
     def expr(self, e: Any, c: Context) -> tuple[str, str]:
-        if c.grouped and not c.in_aggregate and not isinstance(e, Literal):
-            plain = Context(c.block)
-            try:
-                text = self.expr(e, plain)
-                if text[0] in c.keys:
-                    return c.keys[text[0]], text[1]
-            except EngineError:
-                pass  # it holds an aggregate
+        if c.grouped and c.keys and not c.in_aggregate and not isinstance(e, Literal) and not _holds(e, (Aggregate, Subquery)):
+            text = self.expr(e, Context(c.block))
+            if text[0] in c.keys:
+                return c.keys[text[0]], text[1]
         match e:
             case Literal():
                 return literal(e)
             case Name():
-                sql, kind, own = c.block.resolve(e)
+                sql, kind, own = c.block.resolve(e, c.in_aggregate)  # Spark's aggregates don't mix rows of two blocks
                 if own and c.grouped and not c.in_aggregate:
                     if not c.loose:
                         raise EngineError(f"column must appear in group by or aggregate: {header(e)}")
@@ -212,6 +239,9 @@ class Compiler:
                 return f"({op} {texts[0]})", kind
             if op == "/" and kind == "int":
                 return f"({texts[0]} div {texts[1]})", kind
+            if op == "%" and kind == "int" and not (isinstance(args[1], Literal) and args[1].value != -1):
+                # The remainder of the least number by -1 overflows, as the quotient does.
+                return f"(CASE WHEN {texts[1]} = -1L THEN ({texts[0]} div {texts[1]}) * 0L ELSE {texts[0]} % {texts[1]} END)", kind
             return f"({texts[0]} {op} {texts[1]})", kind
         return functions.call(op, made)
 
@@ -251,8 +281,14 @@ class Compiler:
                     out += ch
                 i += 1
             p = quote(out)
-        elif e.escape:
-            mark = e.escape
+        else:
+            p = f"replace({p}, {quote(mark)}, {quote(mark + mark)})"
+            if e.escape:
+                # In turn: mark escaped characters, keep the mark of wildcards only.
+                esc, hold = re.escape(e.escape), "\x02"
+                p = f"regexp_replace({p}, {quote(f'(?s){esc}(.)')}, {quote(hold + '$1')})"
+                p = f"CASE WHEN endswith({p}, {quote(e.escape)}) AND NOT endswith({p}, {quote(hold + e.escape)}) THEN raise_error('like pattern ends with its escape character') ELSE {p} END"
+                p = f"replace(regexp_replace({p}, '{hold}([%_\\x01])', {quote(mark + '$1')}), '{hold}', '')"
         return f"({v} {'NOT ' if e.negated else ''}LIKE {p} ESCAPE {quote(mark)})", "bool"
 
     def aggregate(self, e: Aggregate, c: Context) -> tuple[str, str]:
@@ -284,6 +320,13 @@ class Compiler:
             return f"({inner.sql})", kind
         v, kv = self.expr(e.value, c)
         self.compare("=", (v, kv), ("", kind))  # types only
+        if e.negated and not inner.correlated and "null" not in (kv, kind):
+            # Spark broadcasts the rows of any NOT IN.  This is an anti join on equality, beside one aggregate of the
+            # subquery: 0 without rows, 2 with a null among them, else 1.
+            q, n = self.fresh("q"), self.fresh("q")
+            flag = f"(SELECT CASE WHEN count(1) = 0 THEN 0 WHEN count({n}.o0) < count(1) THEN 2 ELSE 1 END FROM ({inner.sql}) {n})"
+            same = self.compare("=", (f"{q}.o0", kind), (v, kv))
+            return f"(NOT EXISTS (SELECT 1 FROM ({inner.sql}) {q} WHERE {same}) AND ({flag} = 0 OR CASE WHEN {v} IS NULL OR {flag} = 2 THEN CAST(NULL AS BOOLEAN) ELSE true END))", "bool"
         return f"({v} {'NOT ' if e.negated else ''}IN ({inner.sql}))", "bool"
 
     # Queries.
@@ -292,9 +335,10 @@ class Compiler:
             return self.block(u.first, u, parent)
         empty = Union(Select())
         out = self.block(u.first, empty, parent)
-        sql, kinds = out.sql, [k for _, k in out.columns]
+        sql, kinds, correlated = out.sql, [k for _, k in out.columns], out.correlated
         for every, s in u.rest:
             more = self.block(s, empty, parent)
+            correlated |= more.correlated
             if len(more.columns) != len(kinds):
                 raise EngineError("union column count mismatch")
             for i, (_, k) in enumerate(more.columns):
@@ -314,13 +358,14 @@ class Compiler:
                 text = f"{a}.o{place}" if place is not None else self.expr(e, Context(block))[0].replace(f"{a}.c", f"{a}.o")
                 keys.append(f"{text} {'DESC' if down else 'ASC'}")
             sql = f"SELECT * FROM ({sql}) {a}{_tail(keys, u)}"
-        return Query(sql, columns)
+        return Query(sql, columns, correlated)
 
     def block(self, s: Select, u: Union, parent: Block | None) -> Query:
         start, wrapped = self.n, None
         while True:
             block = Block(self, parent, wrapped=wrapped)
             out = self.block_once(s, u, block)
+            out.correlated = block.correlated
             if not block.passed or wrapped:
                 return out
             self.n, wrapped = start, self.fresh("w") + "_"
@@ -364,6 +409,7 @@ class Compiler:
 
         where = ""
         if s.where is not None:
+            block.note_equalities(s.where)
             sql, kind = self.expr(s.where, plain)
             self.boolean(kind, "where")
             where = f" WHERE {sql}"
@@ -406,6 +452,11 @@ class Compiler:
             outs = ", ".join(f"o{i}" for i in range(len(made)))
             inner = f"SELECT {columns}, {best}{body} GROUP BY {', '.join(t for t, _ in made)}"
             return Query(f"SELECT {outs} FROM ({inner}) {self.fresh('d')}" + _tail([f"k {'DESC' if sorted_by[0][1] else 'ASC'}"], u), result)
+        if order and not s.distinct and (grouped or any(_holds(e, (Subquery,)) for e, _ in order)):
+            # Spark has no correlated subqueries in ORDER BY, and no aggregates there beside HAVING: the keys are columns of a query below.
+            inner = f"SELECT {columns}, {', '.join(f'{t} AS k{i}' for i, (t, _) in enumerate(sorted_by))}{body}"
+            outs = ", ".join(f"o{i}" for i in range(len(made)))
+            return Query(f"SELECT {outs} FROM ({inner}) {self.fresh('d')}" + _tail([f"k{i} {'DESC' if down else 'ASC'}" for i, (_, down) in enumerate(sorted_by)], u), result)
         sql = f"SELECT {'DISTINCT ' if s.distinct else ''}{columns}{body}"
         return Query(sql + _tail([f"{t} {'DESC' if down else 'ASC'}" for t, down in sorted_by], u), result)
 
@@ -419,19 +470,28 @@ class Compiler:
         return df.toDF(*(n for n, _ in q.columns))
 
 
-def _holds_aggregate(e: Any) -> bool:
+def conjuncts(e: Any) -> list[Any]:
+    return conjuncts(e.args[0]) + conjuncts(e.args[1]) if isinstance(e, Apply) and e.op == "and" else [e] if e is not None else []
+
+
+def _holds(e: Any, kinds: tuple[type, ...]) -> bool:
+    """Whether an expression is, or has below it in its own block, a node of some kinds."""
+    if isinstance(e, kinds):
+        return True
     match e:
-        case Aggregate():
-            return True
         case Apply(_, args):
-            return any(map(_holds_aggregate, args))
+            return any(_holds(a, kinds) for a in args)
         case Like(v, p):
-            return _holds_aggregate(v) or _holds_aggregate(p)
+            return _holds(v, kinds) or _holds(p, kinds)
         case Subquery(_, _, v):
-            return v is not None and _holds_aggregate(v)
+            return v is not None and _holds(v, kinds)
     return False
 
 
+def _holds_aggregate(e: Any) -> bool:
+    return _holds(e, (Aggregate,))
+
+
 def _tail(keys: list[str], u: Union) -> str:
     out = f" ORDER BY {', '.join(keys)}" if keys else ""
     if u.limit is not None:

@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
+import json
+import re
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basaltql.errors import EngineError
 from basaltql.session import Instance
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "labels")
 _DATES = {"orders": "o_orderdate", "lineitem": "l_shipdate"}
 
 
-def engine(spark: SparkSession, sf_dir: str) -> Instance:
+def engine(spark: SparkSession, sf_dir: str, text: str | None = None) -> Instance:
+    """An instance with the tables that the text names, or all; its root is in the cluster's shared folder or the warehouse."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = f"{shared.rstrip('/')}/basaltql-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="basaltql-")
-    out = Instance(spark, root)
+    out = Instance(spark, f"{shared.rstrip('/')}/basaltql-{uuid.uuid4().hex}" if shared else None)
     for name in TABLES:
+        if text is not None and not re.search(rf"\b{name}\b", text):
+            continue
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         if name in _DATES:
             df = df.withColumn(_DATES[name], F.col(_DATES[name]).cast("date"))
@@ -57,6 +61,27 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     "join_residual": ("select o_orderkey, l_linenumber, l_quantity from orders join lineitem on o_orderkey = l_orderkey and l_quantity > 45.0", None),
     "join_3way": ("select r_name, count(*) as n from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by r_name", None),
     "join_mixed": ("select n.n_name as n_name, s.s_suppkey as s_suppkey from region r, nation n left join supplier s on s.s_nationkey = n.n_nationkey and s.s_acctbal > 5000.0 where n.n_regionkey = r.r_regionkey", None),
+    "join_cross": ("select n_name, r_name from nation, region", None),
+    "join_nested_loop": ("select a.s_suppkey as a, b.n_nationkey as b from supplier a join nation b on a.s_suppkey < b.n_nationkey", None),
+    "join_self_chain": ("select a.n_name as x, b.n_name as y, c.r_name as z from nation a join nation b on a.n_regionkey = b.n_regionkey left join region c on b.n_regionkey = c.r_regionkey and c.r_name <> 'ASIA'", None),
+    "agg_distinct_all": ("select count(distinct p_size) as n, sum(distinct p_size) as s, avg(distinct p_size) as a, min(distinct p_size) as lo, max(distinct p_size) as hi from part", f"SELECT count(DISTINCT p_size) AS n, {_B('sum(DISTINCT p_size)')} AS s, avg(DISTINCT p_size) AS a, min(p_size) AS lo, max(p_size) AS hi FROM part"),
+    "exp_unary": ("select n_nationkey, -n_regionkey as m, +n_nationkey as p, -(-3) as q from nation", "SELECT n_nationkey, -n_regionkey AS m, n_nationkey AS p, CAST(3 AS BIGINT) AS q FROM nation"),
+    "exp_literals": ("select 1 as a, 2.5 as b, 1e3 as c, 'it''s' as d", "SELECT CAST(1 AS BIGINT) AS a, 2.5::DOUBLE AS b, 1000.0::DOUBLE AS c, 'it''s' AS d"),
+    "exp_kleene": ("select d.doc_id as doc_id, l.toxic = 1 or d.doc_id % 2 = 0 as a, l.toxic = 1 and d.doc_id % 2 = 0 as b, not l.toxic = 1 as c from documents d left join labels l on d.doc_id = l.doc_id", None),
+    "exp_remainder": ("select n_nationkey, (0 - n_nationkey) % 7 as a, n_nationkey % -1 as b, 7.5 % 2.0 as c from nation", "SELECT n_nationkey, (0 - n_nationkey) % 7 AS a, CAST(0 AS BIGINT) AS b, 1.5::DOUBLE AS c FROM nation"),
+    "like_computed": ("select r_name from region where r_name like concat('A', '%', 'A') escape '!'", "SELECT r_name FROM region WHERE r_name LIKE 'A%A'"),
+    "fn_concat_float": ("select concat(1e308 * 10.0, '|', 2.5, '|', 1e20) as s from region where r_regionkey = 0", "SELECT 'inf|2.5|100000000000000000000.0' AS s"),
+    "order_constant": ("select distinct r_regionkey from region order by 1", "SELECT r_regionkey FROM region"),
+    "order_correlated": ("select n_name, n_nationkey from nation order by (select count(*) from supplier where s_nationkey = n_nationkey) desc, n_name limit 7", "SELECT n_name, n_nationkey FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey ORDER BY coalesce(n, 0) DESC, n_name LIMIT 7"),
+    "union_widened": ("select n_nationkey as k from nation union select s_acctbal from supplier", "SELECT CAST(n_nationkey AS DOUBLE) AS k FROM nation UNION SELECT s_acctbal FROM supplier"),
+    "sub_union_limit": ("select c_custkey from customer where c_nationkey in (select n_nationkey from nation where n_regionkey = 0 union select n_nationkey from nation where n_regionkey = 2 order by n_nationkey limit 4)", None),
+    "sub_outer_in_aggregate": ("select n_nationkey, (select sum(s_suppkey + n_nationkey) from supplier where s_nationkey = n_nationkey) as s from nation", f"SELECT n_nationkey, (SELECT {_B('sum(s_suppkey + n_nationkey)')} FROM supplier WHERE s_nationkey = n_nationkey) AS s FROM nation"),
+    "not_in_nulls": ("select n_nationkey from nation where n_nationkey not in (select l.quality from documents d left join labels l on d.doc_id = l.doc_id)", None),
+    "not_in_empty": ("select n_nationkey from nation where n_nationkey not in (select r_regionkey from region where r_regionkey < 0)", None),
+    "text_length": ("select doc_id, length(text) as n from documents", None),
+    "scan_lineitem": ("select l_orderkey, l_linenumber, l_extendedprice from lineitem", None),
+    "sort_lineitem": ("select l_orderkey, l_linenumber, l_quantity from lineitem order by l_extendedprice, l_orderkey, l_linenumber", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem"),
+    "not_in_lineitem": ("select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_quantity > 30.0)", None),
     "agg_global": ("select count(*) as n, count(l_quantity) as m, sum(l_linenumber) as s, min(l_shipdate) as lo, max(l_extendedprice) as hi, avg(l_linenumber) as mean from lineitem", f"SELECT count(*) AS n, count(l_quantity) AS m, {_B('sum(l_linenumber)')} AS s, CAST(min(l_shipdate) AS DATE) AS lo, max(l_extendedprice) AS hi, avg(l_linenumber) AS mean FROM lineitem"),
     "agg_distinct": ("select count(distinct l_suppkey) as n, sum(distinct l_linenumber) as s from lineitem", f"SELECT count(DISTINCT l_suppkey) AS n, {_B('sum(DISTINCT l_linenumber)')} AS s FROM lineitem"),
     "agg_expr": ("select sum(o_orderkey) + 1 as s, upper(min(o_orderpriority)) as p from orders", f"SELECT {_B('sum(o_orderkey) + 1')} AS s, upper(min(o_orderpriority)) AS p FROM orders"),
@@ -125,20 +150,98 @@ def _information_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine(spark, sf_dir).session().sql("select o_orderkey, o_totalprice from orders where o_orderstatus = ? and o_totalprice > ?", ["F", 300000.0])
+    return engine(spark, sf_dir, "orders").session().sql("select o_orderkey, o_totalprice from orders where o_orderstatus = ? and o_totalprice > ?", ["F", 300000.0])
 
 
+def _script(script: str, query: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query after a script on tables of its own."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = engine(spark, sf_dir, script + query).session()
+        s.execute(script)
+        return s.sql(query)
+
+    return run
+
+
+def _refused(script: str, statement: str, query: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query after a statement that must fail and leave no trace."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = engine(spark, sf_dir, "").session()
+        s.execute(script)
+        try:
+            s.execute(statement)
+        except EngineError:
+            return s.sql(query)
+        raise EngineError(f"not refused: {statement}")
+
+    return run
+
+
+def _two_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two instances on one root commit in turn; a third reads what both did."""
+    one = engine(spark, sf_dir, "")
+    a, b = one.session(), Instance(spark, one.root).session()
+    a.execute("create table ledger (entry int primary key, amount int); insert into ledger values (1, 10)")
+    b.execute("insert into ledger values (2, 20)")
+    a.execute("insert into ledger values (3, 30); update ledger set amount = amount + 1 where entry = 2")
+    return Instance(spark, one.root).session().sql("select entry, amount from ledger")
+
+
+def _grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A revoked part of ALL is gone, the others stay: what each statement of a user with write only gives."""
+    first = engine(spark, sf_dir, "")
+    i = Instance(spark, first.root, auth=True)
+    s = i.session()
+    s.execute("create user root identified by 'r'; login root 'r'; create table box (n int); create user eva identified by 'e'; grant all on main to eva; revoke read on main from eva")
+    u, rows = i.session(), []
+    u.execute("login eva 'e'")
+    for k, text in enumerate(("insert into box values (5)", "select n from box", "create user x identified by 'x'")):
+        try:
+            u.execute(text)
+            rows.append((k, "done"))
+        except EngineError:
+            rows.append((k, "refused"))
+    return spark.createDataFrame(rows, "step bigint, outcome string")
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text grid, the JSON envelope, a headless column's name and the parse trace, a row each."""
+    s = engine(spark, sf_dir, "region").session()
+    r = s.execute("select r_regionkey * 2, r_name from region where r_regionkey = 1")
+    rows = [("grid", r.grid().splitlines()[3]), ("json", json.dumps(r.json()["rows"])), ("header", r.frame.columns[0]), ("trace", str(len(s.trace("select 1 + 1")["tokens"])))]
+    return spark.createDataFrame(rows, "what string, value string")
+
+
+_CELLAR = "create table cellar (bin int primary key, label char(12), litres float default 0.5); insert into cellar (bin, label) values (11, 'quince'); insert into cellar values (12, 'plum', 2), (13, null, 4.5);"
 MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "view_query": (_view, "SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 200000.0 GROUP BY o_custkey"),
     "view_join": (_view_join, "SELECT c_custkey, n_name AS name, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'"),
     "dml_roundtrip": (_dml, "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'ALICE', 105.5::DOUBLE), (2, 'BOB', 90.0), (4, 'dave', 1.5)) t(id, name, score)"),
     "info_schema_columns": (_information_schema, "SELECT * FROM (VALUES ('t', 'id', 'int', CAST(1 AS BIGINT)), ('t', 'name', 'char(8)', 0)) t(table_name, column_name, data_type, primary_key)"),
+    "drop_table": (_script("create table a1 (x int); create table a2 (x int); drop table a1", "show tables"), "SELECT * FROM (VALUES ('a2')) t(\"table\")"),
+    "show_tables_views": (_script(_CELLAR + "create view big as select bin from cellar where litres > 1.0", "show tables"), "SELECT * FROM (VALUES ('big'), ('cellar')) t(\"table\")"),
+    "show_databases": (_script("create database annex", "show databases"), "SELECT * FROM (VALUES ('annex'), ('main')) t(\"database\")"),
+    "use_database": (_script("create database annex; use annex; create table only_here (x int); insert into only_here values (4)", "select x from only_here"), "SELECT CAST(4 AS BIGINT) AS x"),
+    "describe": (_script(_CELLAR, "describe cellar"), "SELECT * FROM (VALUES ('bin', 'int', 'NO', 'PRI', NULL, ''), ('label', 'char(12)', 'YES', '', NULL, ''), ('litres', 'float', 'YES', '', '0.5', '')) t(field, type, \"null\", \"key\", \"default\", extra)"),
+    "explain": (_script(_CELLAR + "create index by_label on cellar (label)", "explain select bin from cellar where label = 'plum'"), "SELECT 'IndexScan(index=by_label, table=cellar, where label = ''plum'') -> Filter -> Project' AS plan"),
+    "create_index_used": (_script(_CELLAR + "create index by_label on cellar (label); update cellar set litres = 9.0 where bin = 12; drop index by_label", "select bin, litres from cellar where label = 'plum'"), "SELECT CAST(12 AS BIGINT) AS bin, 9.0::DOUBLE AS litres"),
+    "info_schema_schemata": (_script("create database annex", "select schema_name from information_schema.schemata"), "SELECT * FROM (VALUES ('annex'), ('main')) t(schema_name)"),
+    "info_schema_tables": (_script(_CELLAR + "create table logs (x int) engine = lsm", "select table_name, engine, page_layout from information_schema.tables"), "SELECT * FROM (VALUES ('cellar', 'heap', 'row'), ('logs', 'lsm', 'row')) t(table_name, engine, page_layout)"),
+    "unique_refused": (_refused(_CELLAR, "insert into cellar values (14, 'fig', 1), (11, 'pear', 1)", "select bin, label, litres from cellar"), "SELECT * FROM (VALUES (CAST(11 AS BIGINT), 'quince', 0.5::DOUBLE), (12, 'plum', 2.0), (13, NULL, 4.5)) t(bin, label, litres)"),
+    "commit": (_script(_CELLAR + "begin; update cellar set litres = litres * 2.0; delete from cellar where bin = 12; commit", "select bin, litres from cellar"), "SELECT * FROM (VALUES (CAST(11 AS BIGINT), 1.0::DOUBLE), (13, 9.0)) t(bin, litres)"),
+    "rollback": (_script(_CELLAR + "begin; update cellar set litres = litres * 2.0; delete from cellar where bin = 12; rollback", "select bin, litres from cellar"), "SELECT * FROM (VALUES (CAST(11 AS BIGINT), 0.5::DOUBLE), (12, 2.0), (13, 4.5)) t(bin, litres)"),
+    "vacuum_merges": (_script(_CELLAR + "delete from cellar where bin = 13; vacuum; checkpoint", "select bin, label from cellar"), "SELECT * FROM (VALUES (CAST(11 AS BIGINT), 'quince'), (12, 'plum')) t(bin, label)"),
+    "two_instances": (_two_instances, "SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(10 AS BIGINT)), (2, 21), (3, 30)) t(entry, amount)"),
+    "grants": (_grants, "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'done'), (1, 'refused'), (2, 'done')) t(step, outcome)"),
+    "results_as_text": (_grid, "SELECT * FROM (VALUES ('grid', '| 2                 | AMERICA |'), ('json', '[[2, \"AMERICA\"]]'), ('header', '(* r_regionkey 2)'), ('trace', '5')) t(what, value)"),
     "prepared": (_prepared, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000.0"),
 }
 
 
 def _text_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: engine(spark, sf_dir).session().sql(text)
+    return lambda spark, sf_dir: engine(spark, sf_dir, text).session().sql(text)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _text_query(t) for k, (t, _) in TEXTS.items()} | {k: f for k, (f, _) in MORE.items()}
