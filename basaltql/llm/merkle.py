@@ -4,7 +4,8 @@ A document is cut at blank lines into sections (and, where there are none, after
 ends in three zero bits, so that cuts move with the text), a section into paragraphs at line ends, a
 paragraph into sentences.  A node's digest covers its children's, so roots are equal exactly for equal texts
 and only differing branches need be compared: compare() goes down from the root, pairs nodes that both trees hold
-(the first of equals with the first) and gives the character ranges of the leaves below those that differ.
+(those at either end first, then the first of equals with the first) and gives the character ranges of the leaves
+below those that differ.
 
 Null texts count as empty; two empty texts have likeness 1.  Documents with one doc_id follow each other in
 the order of their texts.  Very long texts are hashed whole, one at a time.  Extra columns are ignored.
@@ -84,6 +85,14 @@ def compare(a: Node, b: Node) -> tuple[float, list[tuple[int, int]], list[tuple[
     left, right, common = [(0, a)], [(0, b)], 0
     for _ in range(3):
         left, right = _level(left), _level(right)
+        # What begins and ends alike is paired in order, so that the rest lies where the edit was.
+        fewest, head, tail = min(len(left), len(right)), 0, 0
+        while head < fewest and left[head][1][0] == right[head][1][0]:
+            head += 1
+        while tail < fewest - head and left[-1 - tail][1][0] == right[-1 - tail][1][0]:
+            tail += 1
+        common += 2 * sum(x[1] for _, x in [*left[:head], *left[len(left) - tail :]])
+        left, right = left[head : len(left) - tail], right[head : len(right) - tail]
         both = Counter(x[0] for _, x in left) & Counter(x[0] for _, x in right)
         sides = []
         for side in (left, right):

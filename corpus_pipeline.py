@@ -42,7 +42,8 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Registers, chains and merges are beyond SQL; tests/llm compare each stage with a brute-force version.
+#: Registers, chains and merges are beyond SQL; tests/llm compare each stage's operator with a brute-force version
+#: (substring_dedup for exact passages; fuzzy ones, and toxicity's learning, by planted cases).
 ORACLE_SQL = None
 
 

@@ -39,6 +39,31 @@ def test_stages(spark, tables):
     assert len(codec.decode(got[65]).split()) in range(50, 61)
 
 
+def test_odd_rows(spark, tables, tmp_path):
+    """Nulls, empty texts, repeated rows, extra and clashing columns; then empty tables."""
+    folder, texts, toxic, _ = tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = [(500, None), (501, ""), (502, "  "), (None, texts[1]), (1, texts[1]), (1, texts[2]), (503, "one")]
+    more = spark.createDataFrame([(i, t, None, None, len(t or "")) for i, t in odd], docs.schema)
+    from pyspark.sql import functions as F
+
+    both = docs.unionByName(more).withColumns({c: F.lit("x") for c in ("gone_0", "key_0", "spots_0", "version", "ids")})
+    both.write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    got = [(r.doc_id, len(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    ids = [i for i, _ in got]
+    assert {500, 501, 502, 503, None} <= set(ids) and not toxic & set(ids) and {i: n for i, n in got}[500] == 0
+    stages = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        stages = stage(spark, docs.limit(0), folder)
+        assert stages.columns == docs.columns and stages.count() == 0
+    empty = tmp_path / "empty"
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{empty}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
 def test_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "substring_dedup", "decontamination", "bpe"]
     assert [k.split("_")[0] for k in QUERIES] == [f"op{i}" for i in range(1, 11)]
