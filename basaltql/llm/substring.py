@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basaltql.llm import hashing as H
-from basaltql.llm.common import Scratch, arrow_pass, release, unused
+from basaltql.llm.common import BROADCAST_ROWS, Scratch, arrow_pass, release, unused
 
 #: Words of context at the levels of matching.
 WINDOW, SIDE, WIDE = 6, 5, 40
@@ -515,7 +515,10 @@ def remove_repeated(spark: SparkSession, docs: DataFrame, width: int = 5, min_wo
     """
     names = docs.columns
     key, text, spots = unused(docs, "key"), unused(docs, "version"), unused(docs, "spots")
-    cuts = repeated_passages(spark, docs, width, min_words).groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("spots")).toDF(key, text, spots)
+    spans = Scratch(spark).keep(repeated_passages(spark, docs, width, min_words).select("doc_id", "version", "start_word", "end_word"))
+    cuts = spans.groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("spots")).toDF(key, text, spots)
+    if spans.count() <= BROADCAST_ROWS:
+        cuts = F.broadcast(cuts)  # else the texts are shuffled
     joined = docs.join(cuts, (docs["doc_id"].cast("long") == F.col(key)) & (F.shiftright(F.xxhash64(docs["text"].cast("string")), 32).cast("int") == F.col(text)), "left")
     place, count = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
