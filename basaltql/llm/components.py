@@ -22,15 +22,15 @@ def connected_components(spark: SparkSession, links: DataFrame, scratch: Scratch
         # Large star: each node sends its larger neighbours to the least node of its neighbourhood.
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select("b", "a"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = scratch.keep(spread_join(both, least, "u", both.count()).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
+        large = scratch.keep(spread_join(both, least, "u", both.count()).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")))
         # Small star: each node sends its smaller neighbours and itself to the least of them.
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         after = spread_join(large, small, "a", large.count()).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
         after = scratch.keep(after)
         # A star forest maps to itself: every node has one smaller neighbour, which has none.
-        stars = after.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-        roots = after.select(F.col("b").alias("a")).distinct()
-        settled = not stars.where("n > 1").take(1) and not roots.join(stars, "a", "left_semi").take(1)
+        ends = after.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(after.select("b", F.lit(0), F.lit(1)))
+        unsettled = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1")
+        settled = unsettled.count() == 0
         scratch.drop(edges, large)
         edges = after
         if settled:
