@@ -6,7 +6,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from basaltql.llm import chat, common, decontam, langid, license_scan, merkle, neardup, quality, substring, toxicity
+from basaltql.llm import chat, common, components, decontam, langid, license_scan, merkle, neardup, quality, substring, toxicity
+from basaltql.llm.common import Scratch
 from basaltql.llm import hashing as H
 
 R = random.Random(23)
@@ -280,3 +281,40 @@ def test_sides_and_keys_are_those_of_the_words():
     far = o[5] >> np.uint64(substring.BITS * substring.SIDE)
     assert ((far > 0) == (o[3] + 5 + substring.WIDE <= 200)).all()
     assert (H.words([text])[0].shape[0]) == 200
+
+
+def _components_by_hand(links: list[tuple[int, int]]) -> dict[int, int]:
+    least = {x: x for link in links for x in link}
+    while True:
+        after = dict(least)
+        for a, b in links:
+            after[a] = after[b] = min(after[a], after[b])
+        if after == least:
+            return least
+        least = after
+
+
+def test_components_of_paths_stars_and_random_links(spark):
+    """Chains, stars at the least and at the greatest node (both hot), random links, repeats and loops."""
+    rng = np.random.default_rng(11)
+    chain = rng.permutation(300).tolist()
+    cases = {
+        "chain": list(zip(chain, chain[1:], strict=False)),
+        "low star": [(1000, x) for x in range(1001, 1400)],
+        "high star": [(2999, x) for x in range(2500, 2900)],
+        "random": rng.integers(4000, 4400, (350, 2)).tolist(),
+        "loops": [(5000, 5000), (5001, 5001), (5002, 5001), (5001, 5002)],
+    }
+    links = [(int(a), int(b)) for part in cases.values() for a, b in part]
+    want = _components_by_hand([x for x in links if x[0] != x[1]])
+    scratch = Scratch(spark)
+    table = spark.createDataFrame(links, "a long, b long").repartition(3)
+    got = components.connected_components(spark, table, scratch).collect()
+    assert sorted((r.id, r.component) for r in got) == sorted(want.items())
+    scratch.clear()
+
+
+def test_components_of_no_links(spark):
+    scratch = Scratch(spark)
+    assert components.connected_components(spark, spark.createDataFrame([(1, 1), (None, 2)], "a long, b long"), scratch).count() == 0
+    scratch.clear()
