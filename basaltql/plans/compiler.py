@@ -21,6 +21,8 @@ from basaltql.plans.syntax import Aggregate, Apply, Like, Literal, Name, Select,
 
 _DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
 MISMATCH = "type mismatch in expression"
+#: Comparisons, and each with its sides exchanged.
+_TURNED = {"=": "=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
 
 
 @dataclass
@@ -94,6 +96,8 @@ class Block:
     in_from: bool = False
     #: Columns of enclosing blocks that WHERE sets equal to a column of this block: (block, source, place) to that column.
     equal: dict[tuple[int, str, int], tuple[Entry, int]] = field(default_factory=dict)
+    #: WHERE, as soon as FROM is compiled.
+    where: Any = None
     #: Whether the block uses a column of an enclosing one.
     correlated: bool = False
 
@@ -131,6 +135,7 @@ class Block:
 
     def note_equalities(self, where: Any) -> None:
         """Where WHERE sets a column equal to one further out, inner blocks may use the former for the latter."""
+        self.where = where
         for e in conjuncts(where):
             if isinstance(e, Apply) and e.op == "=" and all(isinstance(a, Name) for a in e.args):
                 for mine, other in (e.args, e.args[::-1]):
@@ -317,7 +322,7 @@ class Compiler:
             raise EngineError("subquery must return a single column")
         kind = inner.columns[0][1]
         if e.kind == "scalar":
-            return f"({inner.sql})", kind
+            return self.running(e.query, c.block) or f"({inner.sql})", kind
         v, kv = self.expr(e.value, c)
         self.compare("=", (v, kv), ("", kind))  # types only
         if e.negated and not inner.correlated and "null" not in (kv, kind):
@@ -329,6 +334,78 @@ class Compiler:
             return f"(NOT EXISTS (SELECT 1 FROM ({inner.sql}) {q} WHERE {same}) AND ({flag} = 0 OR CASE WHEN {v} IS NULL OR {flag} = 2 THEN CAST(NULL AS BOOLEAN) ELSE true END))", "bool"
         return f"({v} {'NOT ' if e.negated else ''}IN ({inner.sql}))", "bool"
 
+    def running(self, u: Union, outside: Block) -> str | None:
+        """A scalar subquery that aggregates the rows on one side of an outer value, among rows equal in other columns; None for other forms.
+
+        Spark would join every distinct outer value with the inner table.  Here the values of both are sorted together
+        and aggregated along, in one task for each value of the equal columns; only equalities remain to be correlated.
+        """
+        s = u.first
+        if u.rest or any((q.order or q.limit is not None or q.offset) for q in (u, s)) or s.groups or s.having is not None or s.distinct or len(s.items) != 1:
+            return None
+        a = s.items[0][0]
+        if not isinstance(a, Aggregate) or (a.distinct and a.function not in ("min", "max")):
+            return None
+        inside = Block(self, outside, [Entry(x.alias, "", self.lookup(x.table)) for x in s.sources])
+        own = lambda e: (names := _names(e)) is not None and all(inside.find(n) for n in names)
+        if not all(x.on is None or own(x.on) for x in s.sources) or not (a.argument is None or isinstance(a.argument, Name) and own(a.argument)):
+            return None
+        local: list[Any] = []
+        equal: list[tuple[Name, tuple[Entry, int]]] = []
+        bounds: list[tuple[Name, tuple[Entry, int], str]] = []
+        for e in conjuncts(s.where):
+            if own(e):
+                local.append(e)
+                continue
+            if not (isinstance(e, Apply) and e.op in _TURNED and all(isinstance(n, Name) for n in e.args)):
+                return None
+            (mine, other), op = e.args, e.op
+            if not inside.find(mine):
+                mine, other, op = other, mine, _TURNED[op]
+            if not (hit := inside.find(mine)) or not (found := inside.outer(other)):
+                return None
+            block, place = found
+            if block is not outside and not (place := outside.equal.get((id(block), place[0].sql, place[1]))):
+                return None
+            kinds = {x.relation.columns[i][1] for x, i in (hit, place)}
+            if len(kinds) > 1 or "other" in kinds:
+                return None
+            if op == "=":
+                equal.append((mine, place))
+            else:
+                bounds.append((mine, place, op))
+        if len(bounds) != 1 or len({id(x) for _, (x, _) in equal} | {id(bounds[0][1][0])}) > 1 or bounds[0][1][0].relation.frame is None:
+            return None
+        (mine, place, op), source = bounds[0], bounds[0][1][0]
+        columns = [*equal, (mine, place)]
+        keys = [f"k{i}" for i in range(len(columns))]
+
+        # The outer values: of all rows that the enclosing block's conditions on that one source leave.
+        far = Block(self, None, [Entry(source.alias, self.fresh("a"), source.relation)])
+        self.frames[frame := self.fresh("f")] = source.relation.frame
+        kept = [self.expr(e, Context(far))[0] for e in conjuncts(outside.where) if (names := _names(e)) and all((h := outside.find(n)) and h[0] is source for n in names)]
+        values = ", ".join(f"{far.own(far.entries[0], i)} AS {k}" for k, (_, (_, i)) in zip(keys, columns, strict=True))
+        outer = f"SELECT {values}, NULL AS v, 1 AS d FROM {{{frame}}} {far.entries[0].sql}" + (f" WHERE {' AND '.join(kept)}" if kept else "")
+        where = None
+        for e in local:
+            where = e if where is None else Apply("and", (where, e))
+        rows = self.query(Union(Select([(n, None) for n, _ in columns] + [(a.argument or Literal(1, "int"), None)], s.sources, where)))
+        inner = f"SELECT {', '.join(f'o{i} AS {k}' for i, k in enumerate(keys))}, o{len(keys)} AS v, 0 AS d FROM ({rows.sql}) {self.fresh('q')}"
+
+        whole = a.function == "sum" and rows.columns[-1][1] == "int"
+        number = "DECIMAL(19, 0)" if whole else "DOUBLE"  # running sums of whole numbers may pass the range where the one asked for does not
+        within = {"count": "count(v)", "sum": f"sum(CAST(v AS {number}))", "avg": "sum(CAST(v AS DOUBLE))"}.get(a.function, f"{a.function}(v)")
+        along = "sum" if a.function in ("count", "avg") else a.function
+        order = [f"PARTITION BY {', '.join(keys[:-1])}"] if equal else []
+        order += [f"ORDER BY {keys[-1]}{' DESC' if op[0] == '>' else ''} ROWS BETWEEN UNBOUNDED PRECEDING AND {'CURRENT ROW' if '=' in op else '1 PRECEDING'}"]
+        over = f"OVER ({' '.join(order)})"
+        value = f"{along}(v) {over}" + (f" / nullif(sum(n) {over}, 0L)" if a.function == "avg" else "")
+        grouped = f"SELECT {', '.join(keys)}, {within} AS v, count(v) AS n, max(d) AS d FROM ({outer} UNION ALL {inner}) {self.fresh('q')} WHERE {' AND '.join(f'{k} IS NOT NULL' for k in keys)} GROUP BY {', '.join(keys)}"
+        q = self.fresh("q")
+        met = " AND ".join(f"{q}.{k} = {outside.own(*place)}" for k, (_, place) in zip(keys, columns, strict=True))
+        out = f"(SELECT max({q}.v) FROM (SELECT {', '.join(keys)}, {value} AS v, d FROM ({grouped}) {self.fresh('q')}) {q} WHERE {q}.d = 1 AND {met})"
+        return f"coalesce({out}, 0L)" if a.function == "count" else f"CAST({out} AS BIGINT)" if whole else out
+
     # Queries.
     def query(self, u: Union, parent: Block | None = None) -> Query:
         if not u.rest:
@@ -474,6 +551,23 @@ def conjuncts(e: Any) -> list[Any]:
     return conjuncts(e.args[0]) + conjuncts(e.args[1]) if isinstance(e, Apply) and e.op == "and" else [e] if e is not None else []
 
 
+def _names(e: Any) -> list[Name] | None:
+    """The columns of an expression; None if it holds a subquery or an aggregate."""
+    match e:
+        case Name():
+            return [e]
+        case Literal():
+            return []
+        case Apply(_, parts):
+            pass
+        case Like(v, p):
+            parts = (v, p)
+        case _:
+            return None
+    found = [_names(x) for x in parts]
+    return None if None in found else [n for x in found for n in x]
+
+
 def _holds(e: Any, kinds: tuple[type, ...]) -> bool:
     """Whether an expression is, or has below it in its own block, a node of some kinds."""
     if isinstance(e, kinds):
